@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrackline.llm import chat, exact_dedup, packing, simhash, url_filter
-from wrackline.llm.common import table
+from wrackline.llm import bytecnn, chat, decontaminate, exact_dedup, packing, secrets, simhash, toxicity, url_filter
+from wrackline.llm.common import doc_fold, table
 
 
 def op1_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,34 @@ def op1_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(rows.unionByName(extra))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _held_out(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", (doc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = bytecnn.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return _held_out(bytecnn.score_quality(docs, net))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fm = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _held_out(toxicity.score_toxicity(docs, fm))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
@@ -35,6 +59,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_round_trip, op6_url_filter, op8_simhash_dedup, op9_packing, op10_exact_dedup)
-}
+_ALL = (
+    op1_chat_round_trip,
+    op2_secret_scan,
+    op3_decontamination,
+    op5_quality,
+    op6_url_filter,
+    op7_toxicity,
+    op8_simhash_dedup,
+    op9_packing,
+    op10_exact_dedup,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
