@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrackline.llm import bytecnn, chat, decontaminate, exact_dedup, packing, secrets, simhash, toxicity, url_filter
+from wrackline.llm import bytecnn, chat, decontaminate, exact_dedup, packing, secrets, simhash, suffixes, toxicity, url_filter
 from wrackline.llm.common import doc_fold, table
 
 
@@ -26,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def _held_out(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", (doc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
@@ -63,6 +67,7 @@ _ALL = (
     op1_chat_round_trip,
     op2_secret_scan,
     op3_decontamination,
+    op4_suffix_dedup,
     op5_quality,
     op6_url_filter,
     op7_toxicity,

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrackline.llm.bytecnn import fit_sample
+from wrackline.llm.wordhash import words
 
 BITS = 20
 FACTORS = 6
@@ -24,49 +25,11 @@ FACTORS = 6
 FIT_DOCS = 8000
 FIT_TERMS = 4096
 THRESHOLD = 0.5
-_B = 0x9E3779B97F4A7C15 | 1
-_CLASS = np.zeros(256, np.uint8)  # 0 between words, else the byte that counts
-for _c in range(256):
-    if chr(_c).isascii():
-        _CLASS[_c] = ord(chr(_c).lower()) if chr(_c).isalnum() else 0
-    else:
-        _CLASS[_c] = _c
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of a text's words, all of them.
-
-    Words are runs of ASCII letters and digits and of multi-byte characters.
-    Their hash is a polynomial in the bytes, taken for all words of the text
-    at once from its running sums.
-    """
-    data = _CLASS[np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)]
-    inside = data != 0
-    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        power, inverse = _powers(len(data))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(data.astype(np.uint64) * power)))
-        h = (sums[ends] - sums[starts]) * inverse[starts]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-_TABLES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First n powers of the odd base and of its inverse, modulo 2**64."""
-    if len(_TABLES[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_B, pow(_B, -1, 1 << 64))):
-            row = np.full(size, np.uint64(base))
-            row[0] = 1
-            _TABLES[i] = np.multiply.accumulate(row)
-    return _TABLES[0][:n], _TABLES[1][:n]
+    """Sorted distinct buckets of a text's words, all of them."""
+    return np.unique(words(text)[0] >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 @dataclass
