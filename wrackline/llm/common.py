@@ -24,19 +24,24 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing ``df`` to the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``;
-    one of our own is set only where that is unset, as in tests.
+    One of our own is set only where that is unset, as in tests.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            import tempfile
+    context = spark.sparkContext._jsc.sc()
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not context.getCheckpointDir().isDefined():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wrackline-checkpoint-"))
+    return context.getCheckpointDir().get()
 
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="wrackline-checkpoint-"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing ``df`` to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from wrackline.llm.common import checkpointed
 from wrackline.llm.components import components
+from wrackline.llm.wordhash import grams, mix, words
 
 SEED = 42
 SHINGLE = 3
@@ -118,8 +119,8 @@ class GrayIndex:
     ``value[l]`` their values; the bits of a parent are among its children's.
     """
 
-    def __init__(self, fp: np.ndarray, fanout: int = FANOUT) -> None:
-        self.fp, self.fanout = fp, fanout
+    def __init__(self, fp: np.ndarray, fine: np.ndarray | None = None, limit: int = 0, fanout: int = FANOUT) -> None:
+        self.fp, self.fine, self.limit, self.fanout = fp, fine, limit, fanout
         shared, value = [np.full(len(fp), ~np.uint64(0))], [fp]
         while len(value[-1]) > fanout:
             at = np.arange(0, len(value[-1]), fanout)
@@ -153,7 +154,11 @@ class GrayIndex:
             a, b, seen, apart = a[near], b[near], (seen | fresh)[near], apart[near]
             if level == 0:
                 off = a != b
-                sets.merge(a[off], b[off])
+                a, b = a[off], b[off]
+                if self.fine is not None:
+                    alike = fine_apart(self.fine, a, b) <= self.limit
+                    a, b = a[alike], b[alike]
+                sets.merge(a, b)
                 continue
             if not len(a):
                 continue
@@ -177,17 +182,22 @@ class GrayIndex:
         return (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
 
 
-def bucket_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (fingerprint, least fingerprint of its component) of one bucket of distinct values."""
-    fp = fp[np.argsort(gray_rank(fp))]
+def fine_apart(fine: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows a and b of the long fingerprints."""
+    return np.bitwise_count(fine[a] ^ fine[b]).sum(axis=1, dtype=np.int64)
+
+
+def bucket_links(fp: np.ndarray, radius: int, node: np.ndarray | None = None, fine: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Star links (node, least node of its component) of one bucket; a node is the fingerprint itself by default."""
+    order = np.argsort(gray_rank(fp))
+    fp, node = fp[order], (fp.view(np.int64) if node is None else node)[order]
     sets = _Sets(len(fp))
-    GrayIndex(fp).links(radius, sets)
+    GrayIndex(fp, None if fine is None else fine[order], limit).links(radius, sets)
     root = sets.roots(np.arange(len(fp)))
-    signed = fp.view(np.int64)
     least = np.full(len(fp), np.iinfo(np.int64).max)
-    np.minimum.at(least, root, signed)
-    linked = signed != least[root]
-    return signed[linked], least[root][linked]
+    np.minimum.at(least, root, node)
+    linked = node != least[root]
+    return node[linked], least[root][linked]
 
 
 def block_keys(radius: int) -> list[tuple[int, int]]:
@@ -204,11 +214,15 @@ def _signed(x: int) -> int:
 SMALL = 24
 
 
-def _runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of all buckets of a partition that comes sorted by bucket."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _runs(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of all buckets of a partition that comes sorted by bucket.
+
+    Columns: which, key, fp, node, and four words of a long fingerprint or none.
+    """
+    held: list[list[np.ndarray]] = []
 
-    def work(which: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def work(which: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, *more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fp, fine = fp.view(np.uint64), np.stack(more, axis=1).view(np.uint64) if more else None
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (which[1:] != which[:-1])))
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(key)))
@@ -216,42 +230,63 @@ def _runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[tuple[np.n
         small = np.repeat(size <= SMALL, size)
         for d in range(1, min(SMALL, int(size.max(initial=0)))):
             i = np.flatnonzero(small[:-d] & (bucket[d:] == bucket[:-d]))
+            if not len(i):
+                break
             i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
+            if fine is not None:
+                i = i[fine_apart(fine, i, i + d) <= limit]
             if len(i):
-                x, y = fp[i].view(np.int64), fp[i + d].view(np.int64)
-                yield np.maximum(x, y), np.minimum(x, y)
+                yield np.maximum(node[i], node[i + d]), np.minimum(node[i], node[i + d])
         for s, n in zip(at[size > SMALL], size[size > SMALL]):
-            yield bucket_links(fp[s : s + n], radius)
+            yield bucket_links(fp[s : s + n], radius, node[s : s + n], None if fine is None else fine[s : s + n], limit)
 
     for b in batches:
         if not b.num_rows:
             continue
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)))
-        which, key = held[-1][0], held[-1][1]
+        held.append([c.to_numpy() for c in b.columns])
+        which, key = held[-1][:2]
         if (which[-1], key[-1]) == (held[0][0][0], held[0][1][0]):
             continue
-        which, key, fp = (np.concatenate(x) for x in zip(*held))
+        columns = [np.concatenate(x) for x in zip(*held)]
+        which, key = columns[:2]
         last = int(np.flatnonzero((key != key[-1]) | (which != which[-1]))[-1]) + 1
-        yield from work(which[:last], key[:last], fp[:last])
-        held = [(which[last:], key[last:], fp[last:])]
+        yield from work(*(c[:last] for c in columns))
+        held = [[c[last:] for c in columns]]
     if held:
         yield from work(*(np.concatenate(x) for x in zip(*held)))
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links u, v that connect all distinct ``fp`` within the radius of one another."""
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, limit: int = 0) -> DataFrame:
+    """Links u, v that connect all rows of ``fps`` within the radius of one another.
+
+    ``fps`` has fp and node, the name of a row, and may have f0 to f3, a long
+    fingerprint of which linked rows differ in at most ``limit`` bits.
+    """
     keys = block_keys(radius)
+    rest = [c for c in ("f0", "f1", "f2", "f3") if c in fps.columns]
     entries = F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m, i in keys])
-    rows = fps.select("fp", F.explode(entries).alias("e")).select("e.which", "e.key", "fp")
+    rows = fps.select("fp", "node", *rest, F.explode(entries).alias("e")).select("e.which", "e.key", "fp", "node", *rest)
     rows = rows.repartition("which", "key").sortWithinPartitions("which", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u, v in _runs(batches, radius):
+        for u, v in _runs(batches, radius, limit):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _grouped(marked: DataFrame, radius: int, limit: int = 0) -> DataFrame:
+    """doc_id, fp, component_id from doc_id, fp, node and the long fingerprint, if any."""
+    marked = checkpointed(marked)
+    by = [c for c in marked.columns if c != "doc_id"]
+    fps = checkpointed(marked.groupBy(*by).agg(F.min("doc_id").alias("least_id")))
+    found = components(fingerprint_links(fps, radius, limit)).withColumnRenamed("node", "at")
+    rooted = fps.join(found, fps["node"] == found["at"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_node = rooted.join(named, "root").select("node", "component_id")
+    return marked.select("doc_id", "fp", "node").join(by_node, "node").select("doc_id", "fp", "component_id")
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id of every row.
 
@@ -260,13 +295,64 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     other.  A null doc_id never names a component unless no row in it has an
     id.  Repeated rows come out as often as they went in.
     """
-    marked = checkpointed(fingerprints(docs, shingle))
-    fps = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    found = components(fingerprint_links(fps, radius))
-    rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(fingerprints(docs, shingle).withColumn("node", F.col("fp")), radius)
+
+
+# ---- near copies ---------------------------------------------------------------
+
+COPY_SHINGLE = 5
+COPY_SIMILARITY = 0.8
+COPY_RADIUS = 4
+FINE_BITS = 256
+
+
+def fine_limit(similarity: float) -> int:
+    """Differing bits, of FINE_BITS, that two shingle bags of a Jaccard similarity are expected to have."""
+    return int(np.floor(FINE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), _STEP):
+        ones += np.unpackbits(h[at : at + _STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
+def copy_marks(text: str | None) -> tuple[int, ...]:
+    """SimHash of the words, then 256 bits of SimHash over five-word shingles; all zero without words."""
+    h = words(text)[0]
+    if not len(h):
+        return (0,) * 5
+    g = grams(h, min(COPY_SHINGLE, len(h)))
+    return (_majority(h), *(_majority(mix(g + np.uint64(i))) for i in range(FINE_BITS // 64)))
+
+
+def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """doc_id, fp, component_id, where links are near copies.
+
+    Two documents link if the SimHashes of their words differ in at most
+    ``radius`` bits, which the index finds, and those of their five-word
+    shingles (256 bits) in no more than a Jaccard similarity of ``similarity``
+    makes one expect.  The first holds candidates together that edits of a few
+    words leave alike, the second tells copies from documents that merely use
+    the same words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = np.array([copy_marks(t.as_py()) for t in b.column(1)], dtype=np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in marks.T)], names=["doc_id", "fp", "f0", "f1", "f2", "f3"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    marked = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long, f0 long, f1 long, f2 long, f3 long")
+    marked = marked.withColumn("node", F.xxhash64("fp", "f0", "f1", "f2", "f3"))
+    return _grouped(marked, radius, fine_limit(similarity))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near copies, that of the smallest doc_id."""
+    lost = near_copies(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("lost_id")).distinct()
+    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("lost_id")), "left_anti")
 
 
 def fingerprint_text(fp: Column) -> Column:
