@@ -304,11 +304,16 @@ COPY_SHINGLE = 5
 COPY_SIMILARITY = 0.8
 COPY_RADIUS = 4
 FINE_BITS = 256
+FINE_SLACK = 4
 
 
 def fine_limit(similarity: float) -> int:
-    """Differing bits, of FINE_BITS, that two shingle bags of a Jaccard similarity are expected to have."""
-    return int(np.floor(FINE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    """Differing bits, of FINE_BITS, that two shingle bags of a Jaccard similarity may have.
+
+    The expected number and FINE_SLACK more, two thirds of its standard
+    deviation at 0.8, as half of the pairs would lie above the expectation.
+    """
+    return int(np.floor(FINE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + FINE_SLACK
 
 
 def _majority(h: np.ndarray) -> int:
