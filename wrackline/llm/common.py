@@ -48,3 +48,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def doc_fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out of all training."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A row's name for operators that bring verdicts back to it: a hash of id and text."""
+    return F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in ``lost`` (doc_id, row_key).
+
+    Rows of one id with other texts stay, and so do those without an id.
+    """
+    names = {c.lower() for c in docs.columns}
+    fresh = lambda n: n if n not in names else fresh(n + "_")
+    key, gone_key, gone_id = fresh("row_key"), fresh("gone_key"), fresh("gone_id")
+    gone = lost.select(F.col("row_key").alias(gone_key), F.col("doc_id").alias(gone_id)).distinct()
+    marked = docs.withColumn(key, row_key(docs))
+    return marked.join(gone, (marked[key] == gone[gone_key]) & marked["doc_id"].eqNullSafe(gone[gone_id]), "left_anti").drop(key)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed
+from wrackline.llm.common import checkpointed, row_key, without
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -80,8 +80,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start, length, n_windows, hamming, similarity of each leak.
+def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """row_key, doc_id, item_id, start, length, n_windows, hamming, similarity of each leak.
 
     One row for each document text and item, with the best window (the first
     of equal ones, in words).  An item shorter than a shingle is one shingle
@@ -96,7 +96,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simila
     total = bench.agg(F.sum("length")).first()[0] or 0
 
     named = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    named = named.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    named = named.select("doc_id", "text", row_key(named).alias("row_key"))
 
     def by_k(make) -> DataFrame:
         parts = [make(k) for k in sizes or [shingle]]
@@ -140,12 +140,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simila
         F.countDistinct("start", "length").alias("n_windows"),
     )
     return best.select(
-        "doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.length").cast("long").alias("length"),
+        "row_key", "doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.length").cast("long").alias("length"),
         "n_windows", (-F.col("best.near")).cast("long").alias("hamming"), F.round("best.similarity", 6).alias("similarity"),
     )
 
 
+def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The leaks, by doc_id and item_id."""
+    return leaks(docs, items).drop("row_key")
+
+
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    lost = find_leaks(docs, items).select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("lost_id")), "left_anti")
+    return without(docs, leaks(docs, items))

@@ -12,16 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed, lower_ascii
+from wrackline.llm.common import checkpointed, lower_ascii, row_key, without
 
 PREFIX_CHARS = 64
 
 
 def sketch(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """doc_id with the three keys; a null text counts as empty."""
+    """doc_id and row_key with the three keys; a null text counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id",
+        row_key(docs).alias("row_key"),
         F.octet_length(text).alias("n_bytes"),
         F.xxhash64(lower_ascii(F.substring(text, 1, prefix_chars))).alias("prefix_hash"),
         F.unhex(F.sha2(lower_ascii(text).cast("binary"), 256)).alias("digest"),
@@ -42,31 +43,36 @@ def refine(keys: DataFrame) -> DataFrame:
     return groups.filter("group_size > 1")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, keep_id, group_size, kept, digest of every row.
 
-    Of equal texts the row with the largest doc_id stays.  A null doc_id is
-    smaller than any other and stays only if its whole group has none; rows
-    that repeat both id and text share one verdict.  An empty table gives an
-    empty result.  Further columns of ``docs`` are ignored.
-
-    The keys are materialised once (about 60 bytes a row), so that the
+    The keys are materialised once (about 70 bytes a row), so that the
     documents are scanned a single time whatever the number of levels.
     """
     keys = checkpointed(sketch(docs))
     found = keys.join(refine(keys), "digest", "left")
-    alone = F.col("group_size").isNull()
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id",
+        "row_key",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        "digest",
     )
 
 
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts the row with the largest doc_id stays.  A null doc_id is
+    smaller than any other and stays only if its whole group has none; rows
+    that repeat both id and text share one verdict.  An empty table gives an
+    empty result.  Further columns of ``docs`` are ignored.
+    """
+    return judged(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text a row with a larger id repeats."""
-    lost = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("lost_id")), "left_anti")
+    return without(docs, judged(docs).filter("not kept"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed
+from wrackline.llm.common import checkpointed, row_key, without
 from wrackline.llm.components import components
 from wrackline.llm.wordhash import grams, mix, words
 
@@ -276,15 +276,16 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, limit: int = 0) -> D
 
 
 def _grouped(marked: DataFrame, radius: int, limit: int = 0) -> DataFrame:
-    """doc_id, fp, component_id from doc_id, fp, node and the long fingerprint, if any."""
+    """doc_id, row_key if there is one, fp, component_id from those, node and the long fingerprint, if any."""
     marked = checkpointed(marked)
-    by = [c for c in marked.columns if c != "doc_id"]
+    own = [c for c in ("doc_id", "row_key") if c in marked.columns]
+    by = [c for c in marked.columns if c not in own]
     fps = checkpointed(marked.groupBy(*by).agg(F.min("doc_id").alias("least_id")))
     found = components(fingerprint_links(fps, radius, limit)).withColumnRenamed("node", "at")
     rooted = fps.join(found, fps["node"] == found["at"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_node = rooted.join(named, "root").select("node", "component_id")
-    return marked.select("doc_id", "fp", "node").join(by_node, "node").select("doc_id", "fp", "component_id")
+    return marked.select(*own, "fp", "node").join(by_node, "node").select(*own, "fp", "component_id")
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -333,7 +334,7 @@ def copy_marks(text: str | None) -> tuple[int, ...]:
 
 
 def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """doc_id, fp, component_id, where links are near copies.
+    """doc_id, row_key, fp, component_id, where links are near copies.
 
     Two documents link if the SimHashes of their words differ in at most
     ``radius`` bits, which the index finds, and those of their five-word
@@ -345,19 +346,19 @@ def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, similarity: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = np.array([copy_marks(t.as_py()) for t in b.column(1)], dtype=np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in marks.T)], names=["doc_id", "fp", "f0", "f1", "f2", "f3"])
+            marks = np.array([copy_marks(t.as_py()) for t in b.column(2)], dtype=np.int64).reshape(-1, 5)
+            arrays = [*b.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in marks.T)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_key", "fp", "f0", "f1", "f2", "f3"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    marked = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long, f0 long, f1 long, f2 long, f3 long")
+    marked = docs.select("doc_id", row_key(docs).alias("row_key"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, row_key long, fp long, f0 long, f1 long, f2 long, f3 long")
     marked = marked.withColumn("node", F.xxhash64("fp", "f0", "f1", "f2", "f3"))
     return _grouped(marked, radius, fine_limit(similarity))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest doc_id."""
-    lost = near_copies(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("lost_id")), "left_anti")
+    return without(docs, near_copies(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def fingerprint_text(fp: Column) -> Column:
