@@ -22,8 +22,11 @@ def be(data: Column, offset: int | Column, length: int) -> Column:
 
 
 def le(data: Column, offset: int | Column, length: int) -> Column:
-    """Unsigned little-endian integer of up to 7 bytes."""
-    return F.conv(F.hex(F.reverse(cut(data, offset, length))), 16, 10).cast("bigint")
+    """Unsigned little-endian integer of up to 7 bytes.
+
+    Bytes are turned around one by one, as ``reverse`` goes by characters.
+    """
+    return F.conv(F.concat(*[F.hex(cut(data, offset + i, 1)) for i in reversed(range(length))]), 16, 10).cast("bigint")
 
 
 def le_signed(data: Column, offset: int | Column, length: int) -> Column:
