@@ -66,7 +66,10 @@ def select_terms(docs: list[np.ndarray], labels: np.ndarray, limit: int) -> np.n
 
 
 def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int = 11) -> FactorMachine:
-    """Adagrad over the log loss, one document at a time."""
+    """Adagrad over the log loss, one document at a time.
+
+    The rarer class counts more, by the square root of how much rarer it is.
+    """
     rng = np.random.default_rng(seed)
     chosen = select_terms(docs, labels, FIT_TERMS) if len(docs) else np.zeros(0, np.int64)
     place = np.zeros(1 << BITS, np.int32)
@@ -74,6 +77,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int
     rate = float(labels.mean()) if len(labels) else 0.5
     fm = FactorMachine(place, np.zeros(len(chosen) + 1), rng.normal(0, 0.02, (len(chosen) + 1, FACTORS)), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     fm.factors[0] = 0
+    odds = (1 - rate) / rate if 0 < rate < 1 else 1.0
+    weight = np.where(labels == 1, max(1.0, odds**0.5), max(1.0, odds**-0.5))
     gw, gv = np.full_like(fm.weights, 1e-2), np.full_like(fm.factors, 1e-2)
     rows = [r[r > 0] for r in (place[t] for t in docs)]
     for _ in range(epochs):
@@ -82,7 +87,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int
             v = fm.factors[r]
             total = v.sum(axis=0)
             z = fm.bias + fm.weights[r].sum() + 0.5 * (total @ total - (v * v).sum())
-            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]
+            err = weight[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i])
             fm.bias -= 0.01 * err
             if not len(r):
                 continue
