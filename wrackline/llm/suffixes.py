@@ -217,6 +217,7 @@ def _compared_widely(rows: DataFrame) -> DataFrame:
 
     keyed = rows.mapInArrow(keys, f"key long, row_key long, doc_id {kind}, start int, end int")
     several = keyed.groupBy("key").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b")).filter("a <> b").select("key")
+    several = checkpointed(several)  # so that the join has an exchange on either side and a common key's rows can be split
     return keyed.join(several, "key", "left_semi").select("row_key", "doc_id", "start", "end")
 
 
