@@ -24,7 +24,7 @@ def sketch(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
         "doc_id",
         row_key(docs).alias("row_key"),
         F.octet_length(text).alias("n_bytes"),
-        F.xxhash64(lower_ascii(F.substring(text, 1, prefix_chars))).alias("prefix_hash"),
+        F.xxhash64(F.octet_length(text), lower_ascii(F.substring(text, 1, prefix_chars))).alias("prefix_hash"),
         F.unhex(F.sha2(lower_ascii(text).cast("binary"), 256)).alias("digest"),
     )
 
@@ -33,14 +33,17 @@ def refine(keys: DataFrame) -> DataFrame:
     """Groups of two or more equal texts: digest, keep_id, group_size.
 
     Each level counts with map-side partial aggregates, so a length, a prefix
-    or a text that a third of the rows share costs one row per task.
+    or a text that a third of the rows share costs one row per task.  A level's
+    key holds the one before and goes by a name of its own, and its counts are
+    written before rows are joined to them, so each join stands between
+    exchanges of its own and Spark may split its large partitions.
     """
-    lengths = keys.groupBy("n_bytes").count().filter("count > 1").select("n_bytes")
+    lengths = checkpointed(keys.groupBy("n_bytes").count().filter("count > 1").select("n_bytes"))
     level1 = keys.join(lengths, "n_bytes", "left_semi")
-    prefixes = level1.groupBy("n_bytes", "prefix_hash").count().filter("count > 1").drop("count")
-    level2 = keys.join(prefixes, ["n_bytes", "prefix_hash"], "left_semi")
+    prefixes = checkpointed(level1.groupBy("prefix_hash").count().filter("count > 1").select("prefix_hash"))
+    level2 = keys.join(prefixes, "prefix_hash", "left_semi")
     groups = level2.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return groups.filter("group_size > 1")
+    return checkpointed(groups.filter("group_size > 1"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
