@@ -283,7 +283,8 @@ def _grouped(marked: DataFrame, radius: int, limit: int = 0) -> DataFrame:
     fps = checkpointed(marked.groupBy(*by).agg(F.min("doc_id").alias("least_id")))
     found = components(fingerprint_links(fps, radius, limit)).withColumnRenamed("node", "at")
     rooted = fps.join(found, fps["node"] == found["at"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # Written first, so that the join has an exchange on either side and a large component's rows can be split.
+    named = checkpointed(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     by_node = rooted.join(named, "root").select("node", "component_id")
     return marked.select(*own, "fp", "node").join(by_node, "node").select(*own, "fp", "component_id")
 
