@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 LEAST = 1024
-#: Members that tell a kind of document; the last one found decides.
+#: Members that tell a kind of document; the last one found decides.
 PARTS = {
     "docx": ("word/document.xml", "word/fontTable.xml", "word/settings.xml", "word/styles.xml", "word/theme/theme1.xml"),
     "xlsx": ("xl/worksheets/sheet1.xml", "xl/styles.xml", "xl/theme/theme1.xml", "xl/sharedStrings.xml"),

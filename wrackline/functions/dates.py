@@ -7,7 +7,7 @@ import zipfile
 from datetime import UTC, datetime
 from xml.etree import ElementTree
 
-#: Times of compound files up to here are those of templates and empty fields.
+#: Fixed value: times of compound files up to here are those of templates and empty fields.
 OLE_SINCE = 852_076_801
 
 

@@ -142,6 +142,7 @@ def png_raw_size(w: int, h: int, bits: int, interlaced: bool, compat: bool = Fal
     if not interlaced:
         return h * (1 + (w * bits + 7) // 8)
     if compat:
+        # Scan lines of the last, incomplete eight rows.
         return (w * bits + 7) // 8 * h + 15 * (h // 8) + (0, 4, 5, 7, 8, 11, 12, 14)[h % 8]
     total = 0
     for x, y, dx, dy in _PASSES:

@@ -142,6 +142,7 @@ def summary_times(file: CompoundFile) -> tuple[int | None, int | None]:
 
 # ---- workbooks ----------------------------------------------------------------------------------
 
+#: Names of sheet kinds and states.
 SHEET_KINDS = {0: "worksheet or dialog sheet", 1: "Excel 4.0 macro sheet", 2: "chart", 6: "Visual Basic module"}
 SHEET_STATES = {0: "visible", 1: "hidden", 2: "very hidden", 3: "visibility=3"}
 

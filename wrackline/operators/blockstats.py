@@ -10,6 +10,7 @@ from wrackline.operators.signatures import sector_signature
 BUFFER = 8 << 20
 SECTOR = 512
 MAP_LIMIT = 2 << 30
+#: Characters of the map by the low five bits.
 _ALPHABET = "0123456789ABCDEF@abcdefghijklmno"
 
 

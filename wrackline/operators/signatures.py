@@ -54,7 +54,7 @@ def sector_hits(blocks: DataFrame) -> DataFrame:
     return found.select("image", "fpos", "s.kind", "s.flag", "s.detail").filter("kind IS NOT NULL")
 
 
-#: First four bytes of a block and what they announce.
+#: First four bytes of a block and what they announce.
 BLOCK_MAGICS: dict[bytes, str] = {
     **{bytes([0xFF, 0xD8, 0xFF, x]): "JPG" for x in (0xE0, 0xE1, 0xE2, 0xED, 0xFE)},
     b"MM\x00*": "TIFF", b"II*\x00": "TIFF", b"HXFF": "VDB", b"regf": "REG", b"dns.": "AU", b"SFPK": "SFK", b"<?xm": "XML",
