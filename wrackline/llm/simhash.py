@@ -15,6 +15,9 @@ Links of at most ``radius`` differing bits are found in two steps.
   dense bucket yields a spanning star and never all its pairs.
 
 Copies collapse to one row per fingerprint before any of this.
+
+``near_copies``, which the pipeline uses, is an exact join of shingle sets and
+rests on no fingerprint.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from wrackline.llm.common import checkpointed, row_key, without
 from wrackline.llm.components import components
-from wrackline.llm.wordhash import grams, mix, words
+from wrackline.llm.wordhash import grams, words
 
 SEED = 42
 SHINGLE = 3
@@ -275,18 +278,15 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, limit: int = 0) -> D
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _grouped(marked: DataFrame, radius: int, limit: int = 0) -> DataFrame:
-    """doc_id, row_key if there is one, fp, component_id from those, node and the long fingerprint, if any."""
-    marked = checkpointed(marked)
-    own = [c for c in ("doc_id", "row_key") if c in marked.columns]
-    by = [c for c in marked.columns if c not in own]
-    fps = checkpointed(marked.groupBy(*by).agg(F.min("doc_id").alias("least_id")))
-    found = components(fingerprint_links(fps, radius, limit)).withColumnRenamed("node", "at")
+def _named(marked: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
+    """The columns of ``marked`` but node, and component_id, from the links of the nodes in ``fps`` (node, least_id)."""
+    found = components(links).withColumnRenamed("node", "at")
     rooted = fps.join(found, fps["node"] == found["at"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     # Written first, so that the join has an exchange on either side and a large component's rows can be split.
     named = checkpointed(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     by_node = rooted.join(named, "root").select("node", "component_id")
-    return marked.select(*own, "fp", "node").join(by_node, "node").select(*own, "fp", "component_id")
+    own = [c for c in marked.columns if c != "node"]
+    return marked.join(by_node, "node").select(*own, "component_id")
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -297,64 +297,185 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     other.  A null doc_id never names a component unless no row in it has an
     id.  Repeated rows come out as often as they went in.
     """
-    return _grouped(fingerprints(docs, shingle).withColumn("node", F.col("fp")), radius)
+    marked = checkpointed(fingerprints(docs, shingle).withColumn("node", F.col("fp")))
+    fps = checkpointed(marked.groupBy("fp", "node").agg(F.min("doc_id").alias("least_id")))
+    return _named(marked, fps, fingerprint_links(fps, radius))
 
 
 # ---- near copies ---------------------------------------------------------------
 
 COPY_SHINGLE = 5
 COPY_SIMILARITY = 0.8
-COPY_RADIUS = 4
-FINE_BITS = 256
-FINE_SLACK = 4
+GROUP_DOCS = 512
+_FLUSH = 200_000
+_COLUMNS = 1 << 12
+
+
+def copy_shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles, fewer words being one shingle."""
+    h = words(text)[0]
+    return np.unique(grams(h, min(COPY_SHINGLE, len(h)))) if len(h) else np.zeros(1, np.uint64)
+
+
+def copy_node(shingles: np.ndarray) -> int:
+    """Name of a set of shingles, as a signed long."""
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, node of every shingle of the texts in the only column."""
+    gram: list[np.ndarray] = []
+    node: list[np.ndarray] = []
+    held = 0
 
-def fine_limit(similarity: float) -> int:
-    """Differing bits, of FINE_BITS, that two shingle bags of a Jaccard similarity may have.
+    def flush() -> pa.RecordBatch:
+        arrays = [pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.concatenate(node))]
+        return pa.RecordBatch.from_arrays(arrays, names=["gram", "node"])
 
-    The expected number and FINE_SLACK more, two thirds of its standard
-    deviation at 0.8, as half of the pairs would lie above the expectation.
+    for b in batches:
+        for t in b.column(0):
+            g = copy_shingles(t.as_py())
+            gram.append(g)
+            node.append(np.full(len(g), copy_node(g), np.int64))
+            held += len(g)
+            if held >= _FLUSH:
+                yield flush()
+                gram, node, held = [], [], 0
+    if held:
+        yield flush()
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, node, df of the shingles that two or more nodes have; rows come sorted by gram and node."""
+
+    def work(gram: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))
+        gram, node = gram[new], node[new]
+        at = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        size = np.diff(np.append(at, len(gram)))
+        df = np.repeat(size, size)
+        many = df > 1
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (gram, node, df)], names=["gram", "node", "df"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        if held[-1][0][-1] == held[0][0][0]:
+            continue
+        gram, node = (np.concatenate(x) for x in zip(*held))
+        last = int(np.searchsorted(gram, gram[-1]))
+        yield from work(gram[:last], node[:last])
+        held = [(gram[last:], node[last:])]
+    if held:
+        yield from work(*(np.concatenate(x) for x in zip(*held)))
+
+
+def set_links(node: np.ndarray, size: np.ndarray, own: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Star links (node, least node) of the sets that links of a Jaccard similarity of at least ``similarity`` connect.
+
+    ``own`` has the elements of each set that others may share, ``size`` the
+    number of all its elements.
     """
-    return int(np.floor(FINE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + FINE_SLACK
+    row = np.repeat(np.arange(len(node)), [len(x) for x in own])
+    _, column, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    both = count[column] > 1
+    row, column = row[both], column[both]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    common = np.zeros((len(node), len(node)), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + _COLUMNS])
+        here, place = np.unique(row[a:b], return_inverse=True)
+        hit = np.zeros((len(here), min(_COLUMNS, int(column[b - 1]) - lo + 1)), np.float32)
+        hit[place, column[a:b] - lo] = 1
+        common[np.ix_(here, here)] += (hit @ hit.T).astype(np.int64)
+    u, v = np.nonzero(np.triu(common * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-9, 1))
+    sets = _Sets(len(node))
+    sets.merge(u, v)
+    root = sets.roots(np.arange(len(node)))
+    least = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, node)
+    linked = node != least[root]
+    return node[linked], least[root][linked]
 
 
-def _majority(h: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), _STEP):
-        ones += np.unpackbits(h[at : at + _STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+def copy_links(texts: DataFrame, sizes: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """Links u, v that connect all nodes whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
+    ``texts`` has the text alone, ``sizes`` node and n of each shingle set.  No step loses a
+    pair.
 
-def copy_marks(text: str | None) -> tuple[int, ...]:
-    """SimHash of the words, then 256 bits of SimHash over five-word shingles; all zero without words."""
-    h = words(text)[0]
-    if not len(h):
-        return (0,) * 5
-    g = grams(h, min(COPY_SHINGLE, len(h)))
-    return (_majority(h), *(_majority(mix(g + np.uint64(i))) for i in range(FINE_BITS // 64)))
+    * A set of n links only if ``similarity`` * n of its shingles stand in other
+      sets; the rest of the sets fall away.
+    * Sets that link have one shingle in common among the n - ceil(similarity * n)
+      + 1 rarest of each (prefix filter), so they lie in one component of
+      the graph of sets and such shingles.
+    * Inside a component all pairs are compared exactly, by one task up to
+      GROUP_DOCS sets; of a larger one each two parts meet in a task.
+    """
+    rows = texts.mapInArrow(_shingle_rows, "gram long, node long").repartition("gram").sortWithinPartitions("gram", "node")
+    shared = rows.mapInArrow(_shared_rows, "gram long, node long, df long")
+    own = shared.groupBy("node").agg(F.collect_list(F.struct("df", "gram")).alias("own"))
+    need = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
+    own = own.join(sizes, "node").filter(F.size("own") >= need)
+    # Shingles of no other set are the rarest and take the first places.
+    places = (F.size("own") - need + 1).cast("int")
+    own = checkpointed(own.select("node", "n", F.sort_array("own").alias("own"), places.alias("places")))
+    keys = checkpointed(own.select("node", F.explode(F.expr("slice(own, 1, places).gram")).alias("gram")))
+    least = keys.groupBy("gram").agg(F.min("node").alias("v"))
+    near = components(keys.join(least, "gram").select(F.col("node").alias("u"), "v").filter("u <> v").distinct())
+    rooted = checkpointed(near.union(near.select(F.col("root").alias("node"), "root").distinct()))
+    parts = rooted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GROUP_DOCS).cast("int").alias("parts"))
+    sets = own.select("node", "n", F.col("own.gram").alias("grams")).join(rooted.join(parts, "root"), "node")
+    mine, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    sets = sets.withColumn("mine", mine).withColumn("other", other).filter("parts = 1 or mine <> other")
+    sets = sets.select("root", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "node", "n", "grams")
+    sets = sets.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(part: list[tuple]) -> pa.RecordBatch:
+            node, size = (np.array([r[i] for r in part], np.int64) for i in (0, 1))
+            u, v = set_links(node, size, [r[2] for r in part], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        key, part = None, []
+        for b in batches:
+            which = list(zip(*(b.column(i).to_pylist() for i in range(3))))
+            for i, (k, node, n) in enumerate(zip(which, b.column(3).to_pylist(), b.column(4).to_pylist())):
+                if k != key and part:
+                    yield work(part)
+                    part = []
+                key = k
+                part.append((node, n, b.column(5)[i].values.to_numpy()))
+        if part:
+            yield work(part)
+
+    return sets.mapInArrow(run, "u long, v long")
 
 
-def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """doc_id, row_key, fp, component_id, where links are near copies.
+def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """doc_id, row_key, component_id, where links are near copies.
 
-    Two documents link if the SimHashes of their words differ in at most
-    ``radius`` bits, which the index finds, and those of their five-word
-    shingles (256 bits) in no more than a Jaccard similarity of ``similarity``
-    makes one expect.  The first holds candidates together that edits of a few
-    words leave alike, the second tells copies from documents that merely use
-    the same words.
+    Two documents link if the Jaccard similarity of their sets of five-word
+    shingles is at least ``similarity``, found and decided exactly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = np.array([copy_marks(t.as_py()) for t in b.column(2)], dtype=np.int64).reshape(-1, 5)
-            arrays = [*b.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in marks.T)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_key", "fp", "f0", "f1", "f2", "f3"])
+            sets = [copy_shingles(t.as_py()) for t in b.column(2)]
+            arrays = [*b.columns[:2], pa.array([copy_node(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_key", "node", "n"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    marked = docs.select("doc_id", row_key(docs).alias("row_key"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, row_key long, fp long, f0 long, f1 long, f2 long, f3 long")
-    marked = marked.withColumn("node", F.xxhash64("fp", "f0", "f1", "f2", "f3"))
-    return _grouped(marked, radius, fine_limit(similarity))
+    text = F.col("text").cast("string").alias("text")
+    marked = checkpointed(docs.select("doc_id", row_key(docs).alias("row_key"), text).mapInArrow(run, f"doc_id {kind}, row_key long, node long, n long"))
+    fps = checkpointed(marked.groupBy("node", "n").agg(F.min("doc_id").alias("least_id")))
+    return _named(marked.select("doc_id", "row_key", "node"), fps, copy_links(docs.select(text), fps.select("node", "n")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
