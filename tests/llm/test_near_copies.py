@@ -73,6 +73,13 @@ def test_no_copy_is_lost_whatever_the_edit(spark):
     assert {d: c for d, c in components(spark, rows).items() if want[d] != d} == {d: c for d, c in want.items() if c != d}
 
 
+def test_documents_below_the_similarity_stay(spark):
+    rows = corpus(("appended", "cut", "block", "scattered"), (0.21, 0.24, 0.28, 0.35), seed=4)
+    want = brute(rows)
+    assert sum(d == c for d, c in want.items()) > 300
+    assert components(spark, rows) == want
+
+
 def test_a_large_component_is_compared_in_parts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP_DOCS", 20)
     rng = random.Random(5)
