@@ -80,3 +80,20 @@ def test_empty_tables(spark, odd_docs, no_docs):
     assert decontaminate.find_leaks(no_docs, bench).collect() == []
     assert decontaminate.find_leaks(odd_docs, bench.limit(0)).collect() == []
     assert decontaminate.find_leaks(odd_docs, bench).collect() == []
+
+
+def test_no_leak_is_lost_for_its_fingerprint(spark):
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.randint(12, 60))) for i in range(120)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for j in range(4):
+            n = max(1, int((0.16, 0.19)[j % 2] * (len(w) - 4)))
+            new = [rng.choice(("zeta", "zq", "ox"))] * n if j < 2 else prose(rng, n).split()
+            docs.append((10 * i + j, " ".join(prose(rng, 30).split() + new + w[n:] + prose(rng, 30).split())))
+            docs.append((10 * i + j + 5, " ".join(prose(rng, 30).split() + w[:-n] + new + prose(rng, 30).split())))
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = decontaminate.find_leaks(table, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert max(r.hamming for r in got) > 15
+    assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items)

@@ -8,11 +8,11 @@ long as the item, has a weighted shingle similarity to it of at least 0.8.
    hashes with those of the benchmark, on the map side when the benchmark is
    small (its rows are counted first) and shuffled when it is not.
 2. Windows: each anchor fixes one window of the item's size, at the offset
-   that lines the two shingles up.  It gets a 64-bit SimHash over its words.
-3. Multi-index: the fingerprint is cut into ``radius + 1`` blocks; within
-   ``radius`` bits two fingerprints agree in one of them, so an equality join
-   on (size, block, value) finds every such pair.  A pair is taken at the first
-   block in which it agrees, hence once, and only within the radius.
+   that lines the two shingles up.
+3. Pairs: a similarity of s leaves out at most 1 - s of an item's shingles, so
+   among the item's rarest ones that make up more than this there is one that
+   the document has.  Windows are compared with the items of which it has one;
+   no pair is lost.
 4. Verification: similarity is the weight of common shingles, each weighted
    by how often it occurs, over that of the item's.
 
@@ -22,13 +22,14 @@ and case don't hide a passage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrackline.llm.common import checkpointed, row_key, without
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Bits of a 64-bit SimHash within which most leaks lie; a plain figure, no window is dropped by it.
 RADIUS = 15
 #: Rows of a benchmark-side table (16 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -64,12 +65,6 @@ def word_simhash(words: Column) -> Column:
     return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), over).getItem(0)
 
 
-def block_values(fp: Column, radius: int) -> list[Column]:
-    """The ``radius + 1`` blocks of a fingerprint, as longs."""
-    edges = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    return [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
-
-
 def common_weight(a: Column, b: Column) -> Column:
     """Total over distinct shingles of the lesser of their counts in a and in b."""
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
@@ -80,7 +75,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """row_key, doc_id, item_id, start, length, n_windows, hamming, similarity of each leak.
 
     One row for each document text and item, with the best window (the first
@@ -107,34 +102,38 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity:
 
     def item_grams(k: int) -> DataFrame:
         own = bench.filter(F.least("length", F.lit(shingle)) == k)
-        return own.select("length", F.posexplode(shingle_hashes(F.col("words"), k)).alias("at", "gram")).distinct()
+        return own.select("variant", "length", F.posexplode(shingle_hashes(F.col("words"), k)).alias("at", "gram"))
 
     def doc_grams(k: int) -> DataFrame:
         return named.select("row_key", F.posexplode(shingle_hashes(words_of(F.col("text")), k)).alias("pos", "gram"))
 
-    anchors = by_k(doc_grams).join(_small(by_k(item_grams), total), "gram")
-    windows = anchors.select("row_key", (F.col("pos") - F.col("at")).alias("start"), "length").distinct()
-    wanted = windows.groupBy("row_key").agg(F.collect_set(F.struct("start", "length")).alias("wanted"))
+    in_items = checkpointed(by_k(item_grams))
+    counted = in_items.groupBy("variant", "length", "gram").agg(F.count(F.lit(1)).alias("weight"))
+    counted = counted.join(counted.groupBy("gram").agg(F.count(F.lit(1)).alias("items")), "gram")
+    before = Window.partitionBy("variant", "length").orderBy("items", "gram").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    left_out = (1 - similarity) * (F.col("length") - F.least("length", F.lit(shingle)) + 1)
+    rare = checkpointed(ranked.filter(F.col("before") <= left_out + 1e-9).select("variant", "length", "gram"))
+
+    anchors = by_k(doc_grams).join(_small(in_items.select("length", "at", "gram").distinct(), total), "gram")
+    found = anchors.groupBy("row_key").agg(
+        F.collect_set(F.struct((F.col("pos") - F.col("at")).alias("start"), "length")).alias("wanted"), F.collect_set("gram").alias("hits")
+    )
+    found = checkpointed(found)
+    pairs = found.select("row_key", F.explode("hits").alias("gram")).join(_small(rare, total), "gram").select("row_key", "variant", "length").distinct()
 
-    texts = named.join(wanted, "row_key").select("row_key", "doc_id", words_of(F.col("text")).alias("words"), "wanted")
+    texts = named.join(found.select("row_key", "wanted"), "row_key").select("row_key", "doc_id", words_of(F.col("text")).alias("words"), "wanted")
     one = texts.select("row_key", "doc_id", "words", F.explode("wanted").alias("w"))
     first = F.greatest(F.lit(0), F.least(F.col("w.start"), F.size("words") - F.col("w.length")))
-    cut = one.select("row_key", "doc_id", first.alias("start"), F.col("w.length").alias("length"), F.slice("words", first + 1, F.col("w.length")).alias("window"))
-    marked = cut.select("*", word_simhash(F.col("window")).alias("fp"))
-
-    def blocked(df: DataFrame, fp: str, *keep: str) -> DataFrame:
-        return df.select(*keep, fp, F.posexplode(F.array(*block_values(F.col(fp), radius))).alias("block", "value"))
-
-    left = blocked(marked, "fp", "row_key", "doc_id", "start", "length", "window")
-    right = blocked(bench, "item_fp", "item_id", "variant", "length", "words")
-    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    earlier = F.exists(F.slice(F.array(*block_values(apart, radius)), F.lit(1), F.col("block")), lambda x: x == 0)
-    near = left.join(_small(right, total), ["length", "block", "value"]).filter((F.bit_count(apart) <= radius) & ~earlier)
+    cut = one.select("row_key", "doc_id", first.alias("start"), F.col("w.length").alias("length"), F.slice("words", first + 1, F.col("w.length")).alias("window")).distinct()
+    near = cut.join(pairs, ["row_key", "length"]).join(_small(bench, total), ["variant", "length"])
 
     k = F.least("length", F.lit(shingle))
     grams = lambda c: F.coalesce(*[F.when(k == n, shingle_hashes(F.col(c), n)) for n in sizes or [shingle]])
-    pairs = near.select("row_key", "doc_id", "item_id", "variant", "start", "length", F.bit_count(apart).alias("hamming"), grams("window").alias("a"), grams("words").alias("b"))
-    scored = pairs.select("*", (common_weight(F.col("a"), F.col("b")) / F.size("b")).alias("similarity")).filter(F.col("similarity") >= similarity)
+    both = near.select("row_key", "doc_id", "item_id", "start", "length", "window", "item_fp", grams("window").alias("a"), grams("words").alias("b"))
+    scored = both.select("*", (common_weight(F.col("a"), F.col("b")) / F.size("b")).alias("similarity")).filter(F.col("similarity") >= similarity)
+    apart = F.bit_count(word_simhash(F.col("window")).bitwiseXOR(F.col("item_fp")))
+    scored = scored.select("row_key", "doc_id", "item_id", "start", "length", apart.alias("hamming"), "similarity")
     best = scored.distinct().groupBy("row_key", "doc_id", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("hamming")).alias("near"), "length")).alias("best"),
         F.countDistinct("start", "length").alias("n_windows"),
