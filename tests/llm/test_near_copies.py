@@ -93,3 +93,8 @@ def test_stage_on_a_whole_table(spark, sf_dir):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     left = sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect())
     assert left == sorted(d for d, c in brute(rows).items() if d == c)
+
+
+def test_wordless_texts_are_told_apart(spark):
+    rows = [(1, "..."), (2, "***"), (3, "..."), (4, None), (5, ""), (6, "* * *")]
+    assert components(spark, rows) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6}

@@ -312,9 +312,13 @@ _COLUMNS = 1 << 12
 
 
 def copy_shingles(text: str | None) -> np.ndarray:
-    """Sorted hashes of the distinct five-word shingles, fewer words being one shingle."""
+    """Sorted hashes of the distinct five-word shingles, fewer words being one shingle, as is a text without words."""
     h = words(text)[0]
-    return np.unique(grams(h, min(COPY_SHINGLE, len(h)))) if len(h) else np.zeros(1, np.uint64)
+    if len(h):
+        return np.unique(grams(h, min(COPY_SHINGLE, len(h))))
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), SEED)], np.uint64)
 
 
 def copy_node(shingles: np.ndarray) -> int:
