@@ -6,7 +6,7 @@ import random
 
 from conftest import prose
 
-from wrackline.llm import simhash
+from wrackline.llm import exact_dedup, simhash
 
 
 def shingles(text) -> frozenset:
@@ -98,3 +98,15 @@ def test_stage_on_a_whole_table(spark, sf_dir):
 def test_wordless_texts_are_told_apart(spark):
     rows = [(1, "..."), (2, "***"), (3, "..."), (4, None), (5, ""), (6, "* * *")]
     assert components(spark, rows) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
+def test_one_of_repeated_rows_stays_in_either_stage(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (None, c), (None, c), (None, c.upper()), (4, "alone"), (None, "by itself")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, `row.key` string").repartition(4)
+    for stage, id_of_a in ((exact_dedup.drop_copies, 2), (simhash.drop_near_copies, 1)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=str)
+        assert got == sorted([(id_of_a, a), (3, b), (None, c), (4, "alone"), (None, "by itself")], key=str)

@@ -66,3 +66,23 @@ def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     gone = lost.select(F.col("row_key").alias(gone_key), F.col("doc_id").alias(gone_id)).distinct()
     marked = docs.withColumn(key, row_key(docs))
     return marked.join(gone, (marked[key] == gone[gone_key]) & marked["doc_id"].eqNullSafe(gone[gone_id]), "left_anti").drop(key)
+
+
+def keep_one(docs: DataFrame, judged: DataFrame, group: str) -> DataFrame:
+    """``docs`` with one row of each group that ``judged`` (doc_id, row_key, kept, ``group``) has; kept rows come first.
+
+    Rows that repeat id and text have one name, so the one that stays of them
+    is taken from the rows themselves.
+    """
+    judged = checkpointed(judged)
+    many = judged.filter("kept").groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("row_key").alias("first")).filter("n > 1")
+    many = checkpointed(many.select(group, "first"))
+    lost = judged.filter("not kept").select("doc_id", "row_key")
+    if many.isEmpty():
+        return without(docs, lost)
+    named = checkpointed(judged.filter("kept").join(many, group).select("doc_id", "row_key", "first"))
+    again = named.filter("row_key = first").select(F.col("doc_id").alias("again_id"), F.col("row_key").alias("again_key")).distinct()
+    whole = docs.select(row_key(docs).alias("again_row"), docs["doc_id"].alias("again_of"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("again_doc"))
+    picked = whole.join(again, (F.col("again_row") == F.col("again_key")) & F.col("again_of").eqNullSafe(F.col("again_id")))
+    picked = picked.groupBy("again_id", "again_key").agg(F.first("again_doc").alias("again_doc")).select("again_doc.*")
+    return without(docs, lost.union(named.select("doc_id", "row_key"))).unionByName(picked)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed, lower_ascii, row_key, without
+from wrackline.llm.common import checkpointed, keep_one, lower_ascii, row_key
 
 PREFIX_CHARS = 64
 
@@ -77,5 +77,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text a row with a larger id repeats."""
-    return without(docs, judged(docs).filter("not kept"))
+    """``docs`` with one row of each group of equal texts, of the largest doc_id."""
+    return keep_one(docs, judged(docs), "digest")

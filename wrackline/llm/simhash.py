@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed, row_key, without
+from wrackline.llm.common import checkpointed, keep_one, row_key
 from wrackline.llm.components import components
 from wrackline.llm.wordhash import grams, words
 
@@ -279,14 +279,14 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, limit: int = 0) -> D
 
 
 def _named(marked: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
-    """The columns of ``marked`` but node, and component_id, from the links of the nodes in ``fps`` (node, least_id)."""
+    """The columns of ``marked`` but node, component_id and root, from the links of the nodes in ``fps`` (node, least_id)."""
     found = components(links).withColumnRenamed("node", "at")
     rooted = fps.join(found, fps["node"] == found["at"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     # Written first, so that the join has an exchange on either side and a large component's rows can be split.
     named = checkpointed(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    by_node = rooted.join(named, "root").select("node", "component_id")
+    by_node = rooted.join(named, "root").select("node", "component_id", "root")
     own = [c for c in marked.columns if c != "node"]
-    return marked.join(by_node, "node").select(*own, "component_id")
+    return marked.join(by_node, "node").select(*own, "component_id", "root")
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -299,7 +299,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     marked = checkpointed(fingerprints(docs, shingle).withColumn("node", F.col("fp")))
     fps = checkpointed(marked.groupBy("fp", "node").agg(F.min("doc_id").alias("least_id")))
-    return _named(marked, fps, fingerprint_links(fps, radius))
+    return _named(marked, fps, fingerprint_links(fps, radius)).drop("root")
 
 
 # ---- near copies ---------------------------------------------------------------
@@ -463,7 +463,7 @@ def copy_links(texts: DataFrame, sizes: DataFrame, similarity: float = COPY_SIMI
 
 
 def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """doc_id, row_key, component_id, where links are near copies.
+    """doc_id, row_key, component_id and root, the component's own name, where links are near copies.
 
     Two documents link if the Jaccard similarity of their sets of five-word
     shingles is at least ``similarity``, found and decided exactly.
@@ -483,8 +483,9 @@ def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFra
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies, that of the smallest doc_id."""
-    return without(docs, near_copies(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """``docs`` with one row of each group of near copies, of the smallest doc_id."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return keep_one(docs, near_copies(docs).withColumn("kept", kept), "root")
 
 
 def fingerprint_text(fp: Column) -> Column:
