@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from wrackline.llm import bytecnn, queries, toxicity
+from wrackline.llm import bytecnn, queries, toxicity, wordhash
 from wrackline.llm.common import doc_fold
 
 BIG = {"quality": "/root/testdata/sf0.01", "toxic": "/root/testdata/sf0.1"}  # 70 and 825 held-out labels
@@ -54,6 +54,54 @@ def test_pairs_say_what_terms_alone_do_not():
     assert margin(a, b) > 0 > max(margin(a), margin(b))
 
 
+def test_terms_that_matter_in_pairs_only_are_taken():
+    rng = np.random.default_rng(4)
+    docs, y = [], []
+    for i in range(2000):
+        toxic = i % 4 == 0
+        pair = [100, 200] if toxic and rng.random() < 0.5 else []
+        # Clean documents have either term as often as toxic ones, but never both.
+        one = [] if toxic else ([100] if i % 2 else []) if rng.random() < 0.5 else ([200] if i % 3 else [])
+        docs.append(np.unique(np.array([*pair, *one, *rng.integers(1000, 1400, 8)], dtype=np.int64)))
+        y.append(float(toxic))
+    chosen = toxicity.select_terms(docs, np.array(y), 100)
+    assert {100, 200} <= set(chosen.tolist())
+
+
+def test_terms_and_margin_against_brute_force():
+    rng = np.random.default_rng(5)
+    text = "Abcdefg abcdxyz abcd ABCDq, x\u00e9x\u00e9x\u00e9 " * 3 + "alone"
+    got = toxicity.terms(text)
+    low = text.lower().replace(",", "").split()
+
+    def bucket(h: int) -> int:
+        return h >> (64 - toxicity.BITS)
+
+    def hashed(piece: bytes) -> int:
+        return sum(x * pow(wordhash.BASE, i, 1 << 64) for i, x in enumerate(piece)) % (1 << 64)
+
+    def mixed(h: int) -> int:
+        return int(wordhash.mix(np.array([h % (1 << 64)], np.uint64))[0])
+
+    want = {bucket(mixed(hashed(w.encode()))) for w in low}
+    by_stem: dict[bytes, set[str]] = {}
+    for w in low:
+        if len(w.encode()) > toxicity.STEM:
+            by_stem.setdefault(w.encode()[: toxicity.STEM], set()).add(w)
+    for stem, own in by_stem.items():
+        h = mixed(hashed(stem) + toxicity.STEM)
+        want.add(bucket(h))
+        if len(own) > 1:
+            want.add(bucket(mixed(h + 1)))
+    assert got.tolist() == sorted(want)
+    fm = toxicity.FactorMachine(np.zeros(1 << toxicity.BITS, np.int32), rng.normal(size=9), rng.normal(size=(9, 6)), -0.3)
+    fm.place[got[:8]] = np.arange(1, 1 + len(got[:8]))
+    rows = [int(x) for x in fm.place[got] if x]
+    slow = fm.bias + sum(fm.weights[i] for i in rows) + sum(float(fm.factors[i] @ fm.factors[j]) for a, i in enumerate(rows) for j in rows[a + 1 :])
+    assert abs(fm.margin(fm.place[got]) - slow) < 1e-9
+    assert toxicity.terms(None).size == toxicity.terms("").size == 0
+
+
 def test_network_is_a_pool_over_all_places():
     rng = np.random.default_rng(2)
     net = bytecnn.ByteCnn.blank(rng)

@@ -37,9 +37,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _bytes(text: str | None) -> np.ndarray:
+    return _CLASS[np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)]
+
+
 def words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words, and their starts and ends in the lower-cased UTF-8 bytes."""
-    data = _CLASS[np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)]
+    data = _bytes(text)
     edge = np.diff(np.concatenate(([0], (data != 0).view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
@@ -49,6 +53,19 @@ def words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * inverse[starts]), starts, ends
 
 
+def stems(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the first n bytes of the words longer than that, and how many different words have each."""
+    h, starts, ends = words(text)
+    _, first = np.unique(h, return_index=True)
+    starts = starts[first][ends[first] - starts[first] > n]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    data = _bytes(text)
+    power = powers(n)[0]
+    own = data[starts[:, None] + np.arange(n)].astype(np.uint64) @ power
+    return np.unique(mix(own + np.uint64(n)), return_counts=True)
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k words, from the words' hashes."""
     n = len(h) - k + 1
