@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from wrackline.llm import packing, queries
@@ -49,3 +50,22 @@ def test_ids_are_returned_on_request(spark):
     ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in rows])
     assert Tokenizer.from_file(packing.default_tokenizer()).decode(ids[:-1].tolist()) == "hello world " * 1500
     assert ids[-1] == 1
+
+
+def test_very_long_runs(spark):
+    texts = [" " * 1_000_000, "\n" * 3_000_000, "a" + "\t" * 1_000_000 + "b", " \n\t\xa0" * 300_000, "x" * 1_000_000, "7" * 1_000_000, "-" * 1_000_000, "é" * 300_000, (" " * 9_999 + "w") * 40]
+    docs = list(enumerate(texts))
+    check(docs, packing.pack(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+
+
+def test_one_encoder_for_each_process(spark):
+    path = packing.default_tokenizer()
+
+    def run(batches):
+        import os
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (os.getpid(), id(packing.Encoder.load(path)))], names=["pid", "at"])
+
+    seen = {(r.pid, r.at) for _ in range(3) for r in spark.range(0, 64, 1, 8).mapInArrow(run, "pid long, at long").collect()}
+    assert len(seen) == len({pid for pid, _ in seen})

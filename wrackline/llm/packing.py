@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 MAX_LEN = 2048
 END_ID = 1
 
-# Texts of other characters than these go through the tokenizer itself.
+# Texts of other characters than these, or with long runs of blanks, for which
+# the quick library would run out of stack, go through the tokenizer itself.
 _ODD = re.compile("[^\t\n\r\x0b\x0c\x20-\x7e\xa0-\u024f]")
+_BLANKS = re.compile(r"\s{10000}")
 _CHECK = "An ordinary  sentence, it's 12 words long:\n\n naïve façade (x_1) -- ~#? "
 
 
@@ -36,14 +40,17 @@ class Encoder:
     else is left to the tokenizer.
     """
 
-    _loaded: dict[str, "Encoder"] = {}
-
     @classmethod
     def load(cls, path: str) -> "Encoder":
-        """One encoder for each file and worker process."""
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        """One encoder for each file and worker process.
+
+        This module reaches each task by value, so what a process keeps is
+        in a module of its own.
+        """
+        held = vars(sys.modules.setdefault("_wrackline_worker", types.ModuleType("_wrackline_worker")))
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -77,7 +84,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not self.quick or _ODD.search(text) or any(s in text for s in self.special):
+        if not self.quick or _ODD.search(text) or _BLANKS.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
