@@ -6,7 +6,7 @@ import random
 
 from conftest import prose
 
-from wrackline.llm import exact_dedup, simhash
+from wrackline.llm import exact_dedup, near_copies
 
 
 def shingles(text) -> frozenset:
@@ -62,7 +62,7 @@ def corpus(kinds, shares, groups=12, seed=3):
 
 
 def components(spark, rows):
-    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     return {r.doc_id: r.component_id for r in found}
 
 
@@ -81,7 +81,7 @@ def test_documents_below_the_similarity_stay(spark):
 
 
 def test_a_large_component_is_compared_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP_DOCS", 20)
+    monkeypatch.setattr(near_copies, "GROUP_DOCS", 20)
     rng = random.Random(5)
     words = prose(rng, 150).split()
     rows = [(i, " ".join(edited(rng, words, "scattered", rng.choice((0.04, 0.1, 0.16, 0.2))))) for i in range(150)]
@@ -91,7 +91,7 @@ def test_a_large_component_is_compared_in_parts(spark, monkeypatch):
 def test_stage_on_a_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    left = sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect())
+    left = sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect())
     assert left == sorted(d for d, c in brute(rows).items() if d == c)
 
 
@@ -105,7 +105,7 @@ def test_one_of_repeated_rows_stays_in_either_stage(spark):
     a, b, c = (prose(rng, 40) for _ in range(3))
     rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (None, c), (None, c), (None, c.upper()), (4, "alone"), (None, "by itself")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, `row.key` string").repartition(4)
-    for stage, id_of_a in ((exact_dedup.drop_copies, 2), (simhash.drop_near_copies, 1)):
+    for stage, id_of_a in ((exact_dedup.drop_copies, 2), (near_copies.drop_near_copies, 1)):
         out = stage(docs)
         assert out.columns == docs.columns
         got = sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=str)

@@ -6,11 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import prose
+from pyspark.sql import functions as F
 
-from wrackline.llm import queries, simhash
+from wrackline.llm import grayindex, queries, simhash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -61,37 +63,77 @@ def test_odd_rows_and_empty_table(odd_docs, odd_rows, no_docs):
     assert simhash.near_components(no_docs).collect() == []
 
 
-@pytest.mark.parametrize("n,radius,spread", [(300, 2, 5), (2000, 2, 9), (1500, 4, 7), (40, 3, 3)])
-def test_gray_index_joins_what_all_pairs_join(n, radius, spread):
+def clustered(n: int, spread: int) -> np.ndarray:
     rng = np.random.default_rng(n)
     seeds = rng.integers(0, 1 << 63, n // 20, dtype=np.uint64)
     fp = seeds[rng.integers(0, len(seeds), n)]
     for _ in range(spread):
         fp = fp ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)) * (rng.random(n) < 0.4).astype(np.uint64)
-    fp = np.unique(fp)
-    u, v = simhash.bucket_links(fp, radius)
-    sets = simhash._Sets(len(fp))
+    return np.unique(fp)
+
+
+def same_sets(fp: np.ndarray, radius: int, u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether links u, v join exactly what all pairs within the radius join."""
+    sets = grayindex.Sets(len(fp))
     order = np.argsort(fp.view(np.int64))
     place = lambda x: order[np.searchsorted(fp.view(np.int64)[order], x)]
     sets.merge(place(u), place(v))
-    slow = simhash._Sets(len(fp))
+    slow = grayindex.Sets(len(fp))
     for i in range(len(fp)):
         near = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= radius)
         slow.merge(np.full(len(near), i), near)
     a, b = sets.roots(np.arange(len(fp))), slow.roots(np.arange(len(fp)))
-    assert len({*zip(a.tolist(), b.tolist())}) == len(set(a.tolist())) == len(set(b.tolist()))
-
-
-def test_every_pair_within_the_radius_shares_a_key():
-    rng = random.Random(4)
-    for radius in (2, 4):
-        masks = [m for m, _ in simhash.block_keys(radius)]
-        for _ in range(300):
-            a = rng.getrandbits(64)
-            b = a
-            for bit in rng.sample(range(64), radius):
-                b ^= 1 << bit
-            assert any((a ^ b) & m == 0 for m in masks)
+    return len({*zip(a.tolist(), b.tolist())}) == len(set(a.tolist())) == len(set(b.tolist()))
+
+
+@pytest.mark.parametrize("n,radius,spread", [(300, 2, 5), (2000, 2, 9), (1500, 4, 7), (40, 3, 3)])
+def test_gray_index_joins_what_all_pairs_join(n, radius, spread):
+    fp = clustered(n, spread)
+    u, v, forest = grayindex.bucket_links(np.zeros(len(fp), np.int64), fp, radius, fp.view(np.int64))
+    assert same_sets(fp, radius, u, v)
+    assert forest.node_pairs > 0
+
+
+def test_buckets_of_a_forest_do_not_meet():
+    fp = np.repeat(clustered(600, 4), 2)
+    bucket = np.tile([0, 1], len(fp) // 2)
+    node = np.arange(len(fp))
+    u, v, _ = grayindex.bucket_links(bucket, fp, 2, node)
+    assert len(u) and (bucket[u] == bucket[v]).all()
+    assert set(u[bucket[u] == 0] + 1) == set(u[bucket[u] == 1])
+
+
+@pytest.mark.parametrize("radius,bucket", [(2, 2048), (2, 16), (2, 1), (4, 4)])
+def test_every_link_is_found_under_some_key(spark, radius, bucket):
+    fp = clustered(1200, 6)
+    rows = spark.createDataFrame([(int(x), int(x)) for x in fp.view(np.int64)], "fp bigint, node bigint")
+    got = simhash.fingerprint_links(rows, radius, bucket).collect()
+    assert same_sets(fp, radius, np.array([r.u for r in got]), np.array([r.v for r in got]))
+
+
+def test_large_buckets_are_split(spark):
+    # 1,500 fingerprints that differ in 13 bits only: one bucket under most keys.
+    rng = random.Random(3)
+    spots = rng.sample(range(64), 13)
+    fps = {sum(1 << spots[b] for b in range(13) if x >> b & 1) for x in rng.sample(range(1 << 13), 1500)}
+    fp = np.array(sorted(fps), np.uint64)
+    rows = spark.createDataFrame([(int(x), int(x)) for x in fp.view(np.int64)], "fp bigint, node bigint").cache()
+    plain = rows.count()
+    sizes = simhash.keyed(rows, 2, 16).groupBy("path", "key").count().agg(F.max("count")).first()[0]
+    assert sizes <= simhash.HOT * 16 < plain
+    got = simhash.fingerprint_links(rows, 2, 16).collect()
+    assert same_sets(fp, 2, np.array([r.u for r in got]), np.array([r.v for r in got]))
+
+
+def test_the_index_prunes_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = simhash.fingerprints(docs).select("fp").distinct().withColumn("node", F.col("fp"))
+    rows = simhash.keyed(fps.cache()).toPandas().sort_values(["path", "key"])
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    forests = [f for *_, f in simhash._searched(iter([batch]), 2)]
+    pairs = sum(n * (n - 1) // 2 for n in rows.groupby(["path", "key"]).size())
+    assert sum(f.pruned for f in forests) > 1000
+    assert sum(f.leaf_pairs + f.node_pairs for f in forests) < pairs / 2
 
 
 def test_long_chain_is_one_component(spark):

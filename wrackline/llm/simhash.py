@@ -3,41 +3,34 @@
 Fingerprints are exact 64-bit SimHashes over word shingles (XXH64, seed 42).
 Links of at most ``radius`` differing bits are found in two steps.
 
-* Distribution: a fingerprint is cut into ``radius + 2`` blocks; two
-  fingerprints within the radius agree in at least two of them, so each
-  pair of blocks is a key and every link shows up under some key.
-* Search inside a key's bucket: fingerprints are sorted by Gray rank, runs
-  of neighbours form nodes whose shared bits are one masked pattern, and the
-  patterns of a level form the nodes of the one above, whose shared bits are
-  factored out of the children.  A pair of nodes is dropped as a whole as
-  soon as the differences gathered over the shared bits pass the radius.
-  Node pairs that already lie in one component are dropped as well, so a
-  dense bucket yields a spanning star and never all its pairs.
+* Distribution: a fingerprint is cut into ``radius + 1`` blocks.  Two
+  fingerprints within the radius agree in at least one of them, so the first
+  bits of each block are a key and every link shows up under some key.
+* Search inside the keys' buckets, by :mod:`wrackline.llm.grayindex`.
 
 Copies collapse to one row per fingerprint before any of this.
-
-``near_copies``, which the pipeline uses, is an exact join of shingle sets and
-rests on no fingerprint.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed, keep_one, row_key
+from wrackline.llm.common import checkpointed
 from wrackline.llm.components import components
-from wrackline.llm.wordhash import grams, words
+from wrackline.llm.grayindex import GrayForest, bucket_links
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
-FANOUT = 16
+#: Rows of a bucket that the index searches as one tree, and the multiple of it that is split.
+BUCKET, HOT = 2048, 8
+_PIECE = 8192
 _STEP = 1 << 15
 
 
@@ -78,201 +71,97 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-# ---- search inside one bucket -------------------------------------------------
-
-
-def gray_rank(fp: np.ndarray) -> np.ndarray:
-    """Place of each fingerprint in the binary reflected Gray sequence."""
-    out = fp.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        out ^= out >> np.uint64(s)
-    return out
-
-
-class _Sets:
-    """Union-find over 0..n-1 with array lookups."""
-
-    def __init__(self, n: int) -> None:
-        self.up = np.arange(n)
-
-    def roots(self, x: np.ndarray) -> np.ndarray:
-        r = self.up[x]
-        while True:
-            deeper = self.up[r]
-            if np.array_equal(deeper, r):
-                return r
-            r = deeper
-
-    def merge(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Join the sets of many pairs: minimum labels are hooked until none moves."""
-        while len(a):
-            ra, rb = self.roots(a), self.roots(b)
-            apart = ra != rb
-            if not apart.any():
-                break
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(self.up, np.maximum(ra, rb), np.minimum(ra, rb))
-        self.up = self.roots(np.arange(len(self.up)))
+# ---- links ---------------------------------------------------------------------
 
 
-class GrayIndex:
-    """Nodes over Gray-sorted fingerprints, level 0 being the fingerprints.
+def block_masks(used: int, parts: int, bits: int) -> list[int]:
+    """Masks of up to ``bits`` bits of each of ``parts`` blocks of the bits not in ``used``.
 
-    ``shared[l]`` has the bits in which all members of a node agree and
-    ``value[l]`` their values; the bits of a parent are among its children's.
+    Fingerprints that agree in ``used`` and differ in fewer than ``parts`` bits
+    agree under one of the masks.
     """
-
-    def __init__(self, fp: np.ndarray, fine: np.ndarray | None = None, limit: int = 0, fanout: int = FANOUT) -> None:
-        self.fp, self.fine, self.limit, self.fanout = fp, fine, limit, fanout
-        shared, value = [np.full(len(fp), ~np.uint64(0))], [fp]
-        while len(value[-1]) > fanout:
-            at = np.arange(0, len(value[-1]), fanout)
-            low = np.bitwise_and.reduceat(value[-1] | ~shared[-1], at)
-            high = np.bitwise_or.reduceat(value[-1] & shared[-1], at)
-            both = np.bitwise_and.reduceat(shared[-1], at) & ~(low ^ high)
-            shared.append(both)
-            value.append(low & both)
-        self.shared, self.value = shared, value
-
-    def links(self, radius: int, sets: _Sets, chunk: int = 1 << 12) -> None:
-        """Join in ``sets`` all members that links of at most ``radius`` bits connect.
-
-        Each node pair carries the bits compared so far and the differences
-        found in them; a level adds only the bits that it shares anew.
-        """
-        top = len(self.value) - 1
-        a, b = np.triu_indices(len(self.value[top]))
-        stack = [(top, a, b, np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint8))]
-        while stack:
-            level, a, b, seen, apart = stack.pop()
-            if level and len(a) > chunk:
-                half = len(a) // 2
-                stack += [(level, *(x[half:] for x in (a, b, seen, apart))), (level, *(x[:half] for x in (a, b, seen, apart)))]
-                continue
-            fresh = self.shared[level][a] & self.shared[level][b] & ~seen
-            apart = apart + np.bitwise_count((self.value[level][a] ^ self.value[level][b]) & fresh)
-            near = apart <= radius
-            if level and near.any():
-                near[near] = self._open(a[near], b[near], self.fanout**level, sets)
-            a, b, seen, apart = a[near], b[near], (seen | fresh)[near], apart[near]
-            if level == 0:
-                off = a != b
-                a, b = a[off], b[off]
-                if self.fine is not None:
-                    alike = fine_apart(self.fine, a, b) <= self.limit
-                    a, b = a[alike], b[alike]
-                sets.merge(a, b)
-                continue
-            if not len(a):
-                continue
-            below, f = len(self.value[level - 1]), self.fanout
-            i, j = np.meshgrid(np.arange(f), np.arange(f), indexing="ij")
-            x = (a[:, None] * f + i.ravel()).ravel()
-            y = (b[:, None] * f + j.ravel()).ravel()
-            fits = (x < below) & (y < below) & (x <= y)
-            x, y = x[fits], y[fits]
-            seen, apart = np.repeat(seen, f * f)[fits], np.repeat(apart, f * f)[fits]
-            inner = np.abs(x - y) < (2 if level > 1 else f)
-            # Neighbours go first: what they join lets later pairs be dropped whole.
-            for part in (~inner, inner):
-                stack.append((level - 1, x[part], y[part], seen[part], apart[part]))
-
-    def _open(self, a: np.ndarray, b: np.ndarray, size: int, sets: _Sets) -> np.ndarray:
-        """Which node pairs are not yet wholly in one component."""
-        label = sets.up
-        at = np.arange(0, len(label), size)
-        low, high = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
-        return (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
-
-
-def fine_apart(fine: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of rows a and b of the long fingerprints."""
-    return np.bitwise_count(fine[a] ^ fine[b]).sum(axis=1, dtype=np.int64)
-
-
-def bucket_links(fp: np.ndarray, radius: int, node: np.ndarray | None = None, fine: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (node, least node of its component) of one bucket; a node is the fingerprint itself by default."""
-    order = np.argsort(gray_rank(fp))
-    fp, node = fp[order], (fp.view(np.int64) if node is None else node)[order]
-    sets = _Sets(len(fp))
-    GrayIndex(fp, None if fine is None else fine[order], limit).links(radius, sets)
-    root = sets.roots(np.arange(len(fp)))
-    least = np.full(len(fp), np.iinfo(np.int64).max)
-    np.minimum.at(least, root, node)
-    linked = node != least[root]
-    return node[linked], least[root][linked]
-
-
-def block_keys(radius: int) -> list[tuple[int, int]]:
-    """(mask, number) of each pair of blocks."""
-    edges = np.linspace(0, 64, radius + 3).round().astype(int)
-    masks = [((1 << int(hi - lo)) - 1) << int(lo) for lo, hi in zip(edges, edges[1:])]
-    return [(a | b, i) for i, (a, b) in enumerate(combinations(masks, 2))]
+    free = [b for b in range(64) if not used >> b & 1]
+    edges = np.linspace(0, len(free), parts + 1).round().astype(int)
+    return [used | sum(1 << b for b in free[lo : min(lo + bits, hi)]) for lo, hi in zip(edges, edges[1:])]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-SMALL = 24
-
+def _searched(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, GrayForest]]:
+    """Links of all buckets of a partition that comes sorted by bucket (path, key, fp, node)."""
 
-def _runs(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of all buckets of a partition that comes sorted by bucket.
+    def work(path: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, GrayForest]]:
+        bucket = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (path[1:] != path[:-1]))))
+        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        many = np.repeat(size > 1, size)
+        bucket, fp, node = bucket[many], fp[many].view(np.uint64), node[many]
+        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
+        cut = [0, *start[np.flatnonzero(np.diff(start // _PIECE)) + 1].tolist(), len(bucket)]
+        for lo, hi in zip(cut, cut[1:]):
+            if lo < hi:
+                yield bucket_links(bucket[lo:hi], fp[lo:hi], radius, node[lo:hi])
 
-    Columns: which, key, fp, node, and four words of a long fingerprint or none.
-    """
     held: list[list[np.ndarray]] = []
-
-    def work(which: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, *more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        fp, fine = fp.view(np.uint64), np.stack(more, axis=1).view(np.uint64) if more else None
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (which[1:] != which[:-1])))
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(key)))
-        bucket = np.repeat(np.arange(len(at)), size)
-        small = np.repeat(size <= SMALL, size)
-        for d in range(1, min(SMALL, int(size.max(initial=0)))):
-            i = np.flatnonzero(small[:-d] & (bucket[d:] == bucket[:-d]))
-            if not len(i):
-                break
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
-            if fine is not None:
-                i = i[fine_apart(fine, i, i + d) <= limit]
-            if len(i):
-                yield np.maximum(node[i], node[i + d]), np.minimum(node[i], node[i + d])
-        for s, n in zip(at[size > SMALL], size[size > SMALL]):
-            yield bucket_links(fp[s : s + n], radius, node[s : s + n], None if fine is None else fine[s : s + n], limit)
-
     for b in batches:
         if not b.num_rows:
             continue
         held.append([c.to_numpy() for c in b.columns])
-        which, key = held[-1][:2]
-        if (which[-1], key[-1]) == (held[0][0][0], held[0][1][0]):
+        path, key = held[-1][:2]
+        if (path[-1], key[-1]) == (held[0][0][0], held[0][1][0]):
             continue
         columns = [np.concatenate(x) for x in zip(*held)]
-        which, key = columns[:2]
-        last = int(np.flatnonzero((key != key[-1]) | (which != which[-1]))[-1]) + 1
+        path, key = columns[:2]
+        last = int(np.flatnonzero((key != key[-1]) | (path != path[-1]))[-1]) + 1
         yield from work(*(c[:last] for c in columns))
         held = [[c[last:] for c in columns]]
     if held:
         yield from work(*(np.concatenate(x) for x in zip(*held)))
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, limit: int = 0) -> DataFrame:
-    """Links u, v that connect all rows of ``fps`` within the radius of one another.
+def keyed(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """path, key, fp, node: every two rows within the radius share a path and key.
 
-    ``fps`` has fp and node, the name of a row, and may have f0 to f3, a long
-    fingerprint of which linked rows differ in at most ``limit`` bits.
+    Keys have as many bits as give buckets of about ``bucket`` rows.  A bucket
+    that is over HOT times that, as of a large group of near copies, is keyed
+    again by blocks of the bits in which its members may still differ, until
+    none is left.
     """
-    keys = block_keys(radius)
-    rest = [c for c in ("f0", "f1", "f2", "f3") if c in fps.columns]
-    entries = F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m, i in keys])
-    rows = fps.select("fp", "node", *rest, F.explode(entries).alias("e")).select("e.which", "e.key", "fp", "node", *rest)
-    rows = rows.repartition("which", "key").sortWithinPartitions("which", "key")
+    n = fps.count()
+    parts = radius + 1
+    bits = min(64 // parts, max(0, math.ceil(math.log2(max(1, n) / bucket))))
+    masks = dict(enumerate(block_masks(0, parts, bits))) if bits else {0: 0}
+    entries = F.array(*[F.struct(F.lit(i).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in masks.items()])
+    rows = fps.select("fp", "node", F.explode(entries).alias("e")).select("e.path", "e.key", "fp", "node")
+    done, fresh = None, list(masks)
+    while True:
+        open_paths = [p for p in fresh if 64 - masks[p].bit_count() >= parts]
+        sizes = rows.filter(F.col("path").isin(open_paths)).groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT * bucket)
+        hot = checkpointed(sizes.select("path", "key"))
+        if hot.isEmpty():
+            break
+        cold = rows.join(hot, ["path", "key"], "left_anti")
+        done = cold if done is None else done.unionByName(cold)
+        steps, fresh = [], []
+        for (path,) in hot.select("path").distinct().collect():  # at most as many as masks
+            for m in block_masks(masks[path], parts, 8):
+                fresh.append(len(masks))
+                steps.append((path, len(masks), _signed(m)))
+                masks[len(masks)] = m
+        wider = fps.sparkSession.createDataFrame(steps, "path int, wider int, mask long")
+        rows = rows.join(hot, ["path", "key"], "left_semi").join(F.broadcast(wider), "path")
+        rows = checkpointed(rows.select(F.col("wider").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node"))
+    return rows if done is None else done.unionByName(rows)
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Links u, v that connect all rows of ``fps`` (fp, node) within the radius of one another."""
+    rows = keyed(fps, radius, bucket).repartition("path", "key").sortWithinPartitions("path", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u, v in _runs(batches, radius, limit):
+        for u, v, _ in _searched(batches, radius):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
@@ -302,192 +191,13 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return _named(marked, fps, fingerprint_links(fps, radius)).drop("root")
 
 
-# ---- near copies ---------------------------------------------------------------
-
-COPY_SHINGLE = 5
-COPY_SIMILARITY = 0.8
-GROUP_DOCS = 512
-_FLUSH = 200_000
-_COLUMNS = 1 << 12
-
-
-def copy_shingles(text: str | None) -> np.ndarray:
-    """Sorted hashes of the distinct five-word shingles, fewer words being one shingle, as is a text without words."""
-    h = words(text)[0]
-    if len(h):
-        return np.unique(grams(h, min(COPY_SHINGLE, len(h))))
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), SEED)], np.uint64)
-
-
-def copy_node(shingles: np.ndarray) -> int:
-    """Name of a set of shingles, as a signed long."""
-    import xxhash
-
-    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
-
-
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """gram, node of every shingle of the texts in the only column."""
-    gram: list[np.ndarray] = []
-    node: list[np.ndarray] = []
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        arrays = [pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.concatenate(node))]
-        return pa.RecordBatch.from_arrays(arrays, names=["gram", "node"])
-
-    for b in batches:
-        for t in b.column(0):
-            g = copy_shingles(t.as_py())
-            gram.append(g)
-            node.append(np.full(len(g), copy_node(g), np.int64))
-            held += len(g)
-            if held >= _FLUSH:
-                yield flush()
-                gram, node, held = [], [], 0
-    if held:
-        yield flush()
-
-
-def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """gram, node, df of the shingles that two or more nodes have; rows come sorted by gram and node."""
-
-    def work(gram: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))
-        gram, node = gram[new], node[new]
-        at = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        size = np.diff(np.append(at, len(gram)))
-        df = np.repeat(size, size)
-        many = df > 1
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (gram, node, df)], names=["gram", "node", "df"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
-        if held[-1][0][-1] == held[0][0][0]:
-            continue
-        gram, node = (np.concatenate(x) for x in zip(*held))
-        last = int(np.searchsorted(gram, gram[-1]))
-        yield from work(gram[:last], node[:last])
-        held = [(gram[last:], node[last:])]
-    if held:
-        yield from work(*(np.concatenate(x) for x in zip(*held)))
-
-
-def set_links(node: np.ndarray, size: np.ndarray, own: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (node, least node) of the sets that links of a Jaccard similarity of at least ``similarity`` connect.
-
-    ``own`` has the elements of each set that others may share, ``size`` the
-    number of all its elements.
-    """
-    row = np.repeat(np.arange(len(node)), [len(x) for x in own])
-    _, column, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    both = count[column] > 1
-    row, column = row[both], column[both]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
-    common = np.zeros((len(node), len(node)), np.int64)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
-        a, b = np.searchsorted(column, [lo, lo + _COLUMNS])
-        here, place = np.unique(row[a:b], return_inverse=True)
-        hit = np.zeros((len(here), min(_COLUMNS, int(column[b - 1]) - lo + 1)), np.float32)
-        hit[place, column[a:b] - lo] = 1
-        common[np.ix_(here, here)] += (hit @ hit.T).astype(np.int64)
-    u, v = np.nonzero(np.triu(common * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-9, 1))
-    sets = _Sets(len(node))
-    sets.merge(u, v)
-    root = sets.roots(np.arange(len(node)))
-    least = np.full(len(node), np.iinfo(np.int64).max)
-    np.minimum.at(least, root, node)
-    linked = node != least[root]
-    return node[linked], least[root][linked]
-
-
-def copy_links(texts: DataFrame, sizes: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """Links u, v that connect all nodes whose shingle sets have a Jaccard similarity of at least ``similarity``.
-
-    ``texts`` has the text alone, ``sizes`` node and n of each shingle set.  No step loses a
-    pair.
-
-    * A set of n links only if ``similarity`` * n of its shingles stand in other
-      sets; the rest of the sets fall away.
-    * Sets that link have one shingle in common among the n - ceil(similarity * n)
-      + 1 rarest of each (prefix filter), so they lie in one component of
-      the graph of sets and such shingles.
-    * Inside a component all pairs are compared exactly, by one task up to
-      GROUP_DOCS sets; of a larger one each two parts meet in a task.
-    """
-    rows = texts.mapInArrow(_shingle_rows, "gram long, node long").repartition("gram").sortWithinPartitions("gram", "node")
-    shared = rows.mapInArrow(_shared_rows, "gram long, node long, df long")
-    own = shared.groupBy("node").agg(F.collect_list(F.struct("df", "gram")).alias("own"))
-    need = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
-    own = own.join(sizes, "node").filter(F.size("own") >= need)
-    # Shingles of no other set are the rarest and take the first places.
-    places = (F.size("own") - need + 1).cast("int")
-    own = checkpointed(own.select("node", "n", F.sort_array("own").alias("own"), places.alias("places")))
-    keys = checkpointed(own.select("node", F.explode(F.expr("slice(own, 1, places).gram")).alias("gram")))
-    least = keys.groupBy("gram").agg(F.min("node").alias("v"))
-    near = components(keys.join(least, "gram").select(F.col("node").alias("u"), "v").filter("u <> v").distinct())
-    rooted = checkpointed(near.union(near.select(F.col("root").alias("node"), "root").distinct()))
-    parts = rooted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GROUP_DOCS).cast("int").alias("parts"))
-    sets = own.select("node", "n", F.col("own.gram").alias("grams")).join(rooted.join(parts, "root"), "node")
-    mine, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    sets = sets.withColumn("mine", mine).withColumn("other", other).filter("parts = 1 or mine <> other")
-    sets = sets.select("root", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "node", "n", "grams")
-    sets = sets.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(part: list[tuple]) -> pa.RecordBatch:
-            node, size = (np.array([r[i] for r in part], np.int64) for i in (0, 1))
-            u, v = set_links(node, size, [r[2] for r in part], similarity)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        key, part = None, []
-        for b in batches:
-            which = list(zip(*(b.column(i).to_pylist() for i in range(3))))
-            for i, (k, node, n) in enumerate(zip(which, b.column(3).to_pylist(), b.column(4).to_pylist())):
-                if k != key and part:
-                    yield work(part)
-                    part = []
-                key = k
-                part.append((node, n, b.column(5)[i].values.to_numpy()))
-        if part:
-            yield work(part)
-
-    return sets.mapInArrow(run, "u long, v long")
-
-
-def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """doc_id, row_key, component_id and root, the component's own name, where links are near copies.
-
-    Two documents link if the Jaccard similarity of their sets of five-word
-    shingles is at least ``similarity``, found and decided exactly.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [copy_shingles(t.as_py()) for t in b.column(2)]
-            arrays = [*b.columns[:2], pa.array([copy_node(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_key", "node", "n"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    text = F.col("text").cast("string").alias("text")
-    marked = checkpointed(docs.select("doc_id", row_key(docs).alias("row_key"), text).mapInArrow(run, f"doc_id {kind}, row_key long, node long, n long"))
-    fps = checkpointed(marked.groupBy("node", "n").agg(F.min("doc_id").alias("least_id")))
-    return _named(marked.select("doc_id", "row_key", "node"), fps, copy_links(docs.select(text), fps.select("node", "n")))
+def fingerprint_text(fp: Column) -> Column:
+    """16 lowercase hex digits of the unsigned fingerprint."""
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies, of the smallest doc_id."""
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return keep_one(docs, near_copies(docs).withColumn("kept", kept), "root")
+    """``docs`` with one row of each group of near copies, see :mod:`wrackline.llm.near_copies`."""
+    from wrackline.llm import near_copies
 
-
-def fingerprint_text(fp: Column) -> Column:
-    """16 lowercase hex digits of the unsigned fingerprint."""
-    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+    return near_copies.drop_near_copies(docs)
