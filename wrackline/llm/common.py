@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Rows of at most some ten numbers up to which a side of a join is broadcast, counted first.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +29,15 @@ def lower_ascii(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    One of our own is set only where that is unset, as in tests.
+    One of our own is set only where that is unset and driver and executors are
+    one machine, as in tests.
     """
     context = spark.sparkContext._jsc.sc()
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     if not context.getCheckpointDir().isDefined():
+        if not context.isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wrackline-checkpoint-"))
@@ -55,6 +60,11 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
 
 
+def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has few enough and else joined by a shuffle."""
+    return F.broadcast(small) if small.count() <= limit else small
+
+
 def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``row_key`` is in ``lost`` (doc_id, row_key).
 
@@ -63,7 +73,7 @@ def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     names = {c.lower() for c in docs.columns}
     fresh = lambda n: n if n not in names else fresh(n + "_")
     key, gone_key, gone_id = fresh("row_key"), fresh("gone_key"), fresh("gone_id")
-    gone = lost.select(F.col("row_key").alias(gone_key), F.col("doc_id").alias(gone_id)).distinct()
+    gone = sized(checkpointed(lost.select(F.col("row_key").alias(gone_key), F.col("doc_id").alias(gone_id)).distinct()))
     marked = docs.withColumn(key, row_key(docs))
     return marked.join(gone, (marked[key] == gone[gone_key]) & marked["doc_id"].eqNullSafe(gone[gone_id]), "left_anti").drop(key)
 
@@ -81,7 +91,7 @@ def keep_one(docs: DataFrame, judged: DataFrame, group: str) -> DataFrame:
     if many.isEmpty():
         return without(docs, lost)
     named = checkpointed(judged.filter("kept").join(many, group).select("doc_id", "row_key", "first"))
-    again = named.filter("row_key = first").select(F.col("doc_id").alias("again_id"), F.col("row_key").alias("again_key")).distinct()
+    again = sized(checkpointed(named.filter("row_key = first").select(F.col("doc_id").alias("again_id"), F.col("row_key").alias("again_key")).distinct()))
     whole = docs.select(row_key(docs).alias("again_row"), docs["doc_id"].alias("again_of"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("again_doc"))
     picked = whole.join(again, (F.col("again_row") == F.col("again_key")) & F.col("again_of").eqNullSafe(F.col("again_id")))
     picked = picked.groupBy("again_id", "again_key").agg(F.first("again_doc").alias("again_doc")).select("again_doc.*")
