@@ -25,14 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed, row_key, without
+from wrackline.llm.common import BROADCAST_ROWS, checkpointed, row_key, sized, without
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits of a 64-bit SimHash within which most leaks lie; a plain figure, no window is dropped by it.
-RADIUS = 15
-#: Rows of a benchmark-side table (16 bytes each) up to which it is broadcast.
-BROADCAST_ROWS = 2_000_000
 _GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -72,6 +68,7 @@ def common_weight(a: Column, b: Column) -> Column:
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A benchmark-side table of at most ``rows`` words or shingles, broadcast if these are few enough."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
@@ -116,16 +113,15 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity:
     rare = checkpointed(ranked.filter(F.col("before") <= left_out + 1e-9).select("variant", "length", "gram"))
 
     anchors = by_k(doc_grams).join(_small(in_items.select("length", "at", "gram").distinct(), total), "gram")
-    found = anchors.groupBy("row_key").agg(
-        F.collect_set(F.struct((F.col("pos") - F.col("at")).alias("start"), "length")).alias("wanted"), F.collect_set("gram").alias("hits")
-    )
-    found = checkpointed(found)
-    pairs = found.select("row_key", F.explode("hits").alias("gram")).join(_small(rare, total), "gram").select("row_key", "variant", "length").distinct()
-
-    texts = named.join(found.select("row_key", "wanted"), "row_key").select("row_key", "doc_id", words_of(F.col("text")).alias("words"), "wanted")
-    one = texts.select("row_key", "doc_id", "words", F.explode("wanted").alias("w"))
-    first = F.greatest(F.lit(0), F.least(F.col("w.start"), F.size("words") - F.col("w.length")))
-    cut = one.select("row_key", "doc_id", first.alias("start"), F.col("w.length").alias("length"), F.slice("words", first + 1, F.col("w.length")).alias("window")).distinct()
+    found = checkpointed(anchors.select("row_key", "gram", (F.col("pos") - F.col("at")).alias("start"), "length").distinct())
+    hits, places = found.select("row_key", "gram").distinct(), checkpointed(found.select("row_key", "start", "length").distinct())
+    pairs = hits.join(_small(rare, total), "gram").select("row_key", "variant", "length").distinct()
+
+    # Only texts with an anchor are cut into words again; they are shuffled only where the places are many.
+    texts = named.join(sized(checkpointed(places.select("row_key").distinct())), "row_key", "left_semi").select("row_key", "doc_id", words_of(F.col("text")).alias("words"))
+    one = texts.join(sized(places), "row_key")
+    first = F.greatest(F.lit(0), F.least(F.col("start"), F.size("words") - F.col("length")))
+    cut = one.select("row_key", "doc_id", first.alias("start"), "length", F.slice("words", first + 1, F.col("length")).alias("window")).distinct()
     near = cut.join(pairs, ["row_key", "length"]).join(_small(bench, total), ["variant", "length"])
 
     k = F.least("length", F.lit(shingle))
@@ -150,5 +146,10 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones."""
+    """``docs`` without the contaminated ones.
+
+    Rows without an id or with null or empty text, and repeated rows, are judged
+    each by its own text; with an empty benchmark all stay.  Other columns are
+    carried along whatever their names.
+    """
     return without(docs, leaks(docs, items))
