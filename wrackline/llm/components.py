@@ -1,8 +1,10 @@
 """Connected components of a link table, by alternating star contractions.
 
 Every round does one large-star and one small-star step (Kiveris et al.,
-"Connected Components in MapReduce and Beyond"), each an aggregate and a join,
-so no node's links are ever gathered in one place.  Rounds grow with the
+"Connected Components in MapReduce and Beyond"), each an aggregate with partial
+sums and a join, so no node's links are ever gathered in one list.  Links of a
+node that very many share meet its least neighbour, one row, in a join that
+Spark may split where adaptive execution handles skew.  Rounds grow with the
 logarithm of the component size.
 """
 
