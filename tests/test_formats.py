@@ -164,6 +164,10 @@ def test_jpeg_repair():
     lost = b"\x11" * 512 + good[2:]
     got = jpeg.repair_jpeg(lost)
     assert got["action"] == "repaired" and got["start"] == 512 and jpeg.check_jpeg(got["repaired"]) == 0
+    # The thumbnail's own image ends before the main one starts, which is what counts.
+    both = jpeg.repair_jpeg(b"\0" * 512 + good[2:] + b"between" + good[2:])
+    assert both["action"] == "repaired" and both["start"] == 512 + len(good) - 2 + 7 and both["repaired"] == good
+    assert jpeg.repair_jpeg(b"\0" * 512 + good[2:] + b"\xff\xda\xff\xd9")["start"] == 512
     assert jpeg.repair_jpeg(b"\0" * 2000)["action"] == "none"
 
 

@@ -106,7 +106,7 @@ def test_catalogue_of_image(spark, disk):
     assert {r.ref: list(r.children) for r in catalogue.child_lists(records).collect()} == {5: [40], 40: [41, 42, 44, 45, 46], 60: [61], 61: [60]}
     assert {r.size: r.n for r in catalogue.by_size(entries).collect()}[2000] == 2
     assert catalogue.listing(entries).filter("size < 1024").count() == 0
-    assert catalogue.directory_conflicts(records, index).count() == 0
+    assert [(r.ref, r.known_name, r.index_name) for r in catalogue.directory_conflicts(records, index).collect()] == [(70, "LOSTDI~1", "Lost directory")]
 
     files = catalogue.with_paths(catalogue.recoverable(records), paths)
     assert {r.name for r in files.collect()} == {"plain.bin", "orphan.doc", "sparse.bin"}
@@ -207,3 +207,28 @@ def test_name_rules(spark):
     assert [(r.e, r.s) for r in got] == [("ppt", 0), ("none", 0), ("doc", -10), ("upper", -3), ("café", 10), ("x~y", -5)]
     runs = spark.createDataFrame([(1, 0, 10, 2), (1, 1, -4, 3), (1, 2, 7, 1)], "ref bigint, idx int, delta bigint, len bigint")
     assert [(r.lcn, r.vcn) for r in catalogue.lcn_from_deltas(runs).orderBy("idx").collect()] == [(10, 0), (6, 2), (13, 5)]
+
+
+def test_last_data_and_first_size_above_zero_count():
+    name = lambda size, text: ntfs.resident(ntfs.NAME, ntfs.name_key(5, T0, size, text))
+    got = ntfs.parse_record(ntfs.make_record(1, [name(0, "a"), name(777, "b"), name(888, "c")]))
+    assert got["size"] == 777 and got["name"] == "c"
+    got = ntfs.parse_record(ntfs.make_record(1, [name(9, "a"), ntfs.nonresident(ntfs.DATA, [(10, 2)], 5000), ntfs.nonresident(ntfs.DATA, [(20, 1)], 4000)]))
+    assert got["size"] == 4000 and got["runs"] == [(20, 1, False)] and got["streams"] == 2
+
+
+def test_index_that_leaves_its_block_has_no_entries():
+    block = ntfs.make_index([(7, ntfs.name_key(5, T0, 1, "x"))])
+    assert len(ntfs.index_entries(block)) == 1
+    assert ntfs.index_entries(block[:28] + (5000).to_bytes(4, "little") + block[32:]) == []
+
+
+def test_deleted_directories_are_no_conflict(spark):
+    name = lambda text: ntfs.resident(ntfs.NAME, ntfs.name_key(5, T0, 0, text, 1, ntfs.DIRECTORY_KEY))
+    data = lambda at: ntfs.nonresident(ntfs.INDEX_ALLOCATION, [(at, 1)], 4096)
+    made = [("i", 0, ntfs.make_record(30, [name("old"), data(3)], flags=2)), ("i", 1024, ntfs.make_record(31, [name("kept"), data(4)], flags=3)), ("i", 2048, ntfs.make_record(32, [name("same")], flags=3))]
+    index = [("i", 4096, ntfs.make_index([(r, ntfs.name_key(p, T0, 0, t, 1, ntfs.DIRECTORY_KEY)) for r, p, t in ((30, 31, "new"), (31, 30, "kept"), (32, 5, "same"))]))]
+    rows = lambda x: spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in x], "image string, fpos bigint, data binary")
+    records, entries = table.file_records(rows(made)), table.index_rows(rows(index))
+    assert [(r.ref, r.known_parent, r.index_parent) for r in catalogue.directory_conflicts(records, entries).collect()] == [(31, 5, 30)]
+    assert [(r.ref, r.delta) for r in catalogue.index_offsets(records, entries).collect()] == [(31, 4096 - 4 * 4096)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
@@ -13,7 +14,6 @@ AFTER_SCAN = (SOS, EOI, DHT)
 #: Weights of an integrity check.
 GARBAGE, FRAME, STRUCTURE = 5, 1, 10
 _NAMES = {SOI: "SOI", EOI: "EOI", SOS: "SOS", DQT: "DQT", DHT: "DHT", DRI: "DRI", SOF0: "SOF0", SOF2: "SOF2"}
-ZIGZAG = [y * 8 + x for s in range(15) for y, x in sorted(((i, s - i) for i in range(max(0, s - 7), min(s, 7) + 1)), reverse=s % 2 == 0)]
 
 
 class JpegError(ValueError):
@@ -387,45 +387,53 @@ def preview(data: bytes, columns: int = 64) -> str | None:
 
 # ---- repair ---------------------------------------------------------------------------------------------
 
+#: Markers that an image may begin with, and those of its tables.
 _HEADERS = (0xC0, 0xC2, 0xC4, 0xDA, 0xDB, 0xDD, 0xFE, 0xE0, 0xE1)
 _TABLES = (0xC0, 0xC2, 0xC4, 0xDB)
 
 
+def marker_places(data: bytes, at: int = 0) -> list[tuple[int, int]]:
+    """(offset, code) of every marker from 0xC0 on, whatever lies between."""
+    return [(m.end() - 2, m[0][-1]) for m in re.compile(rb"\xff+[\xc0-\xfe]").finditer(data, at)]
+
+
+def image_start(marks: list[tuple[int, int]]) -> int | None:
+    """Where the last image begins that still has its tables.
+
+    End marks cut the markers into stretches.  One of them holds an image if a
+    scan comes after a table, and begins with its first header; thumbnails come
+    before the image that they belong to, so the last such stretch counts.
+    """
+    start = None
+    stretch: list[tuple[int, int]] = []
+    for at, code in [*marks, (-1, EOI)]:
+        if code != EOI:
+            stretch.append((at, code))
+            continue
+        codes = [c for _, c in stretch]
+        table = next((i for i, c in enumerate(codes) if c in _TABLES), len(codes))
+        if SOS in codes[table:]:
+            start = next(a for a, c in stretch if c in _HEADERS)
+        stretch = []
+    return start
+
+
 def repair_jpeg(data: bytes) -> dict:
     """action, start, eoi and repaired of a file whose beginning was overwritten.
 
     A file with its own start is ``intact`` and left alone.  In another one the
-    first sector is skipped; the image starts with the first header after the
-    last end mark whose tables come before a scan, and runs to the last end
-    mark; a start mark is put before it if the nearest is not its own.  ``none``: no
-    image.
+    first sector is skipped; the image begins at :func:`image_start` and runs to
+    the last end mark; a start mark is put before it if the nearest is not its
+    own.  ``none``: no image.
     """
-    out = {"action": "none", "start": None, "eoi": None, "repaired": None}
     intact = data[:2] == b"\xff\xd8"
-    at = 0 if intact else SECTOR
-    head = table = soi = eoi = start = None
-    while 0 <= (at := data.find(b"\xff", at)) < len(data) - 1:
-        m = data[at + 1]
-        if m == 0xFF:
-            at += 1
-            continue
-        if m == SOI:
-            soi = at
-        elif m == EOI:
-            eoi, head = at, None
-        elif m in _HEADERS and head is None:
-            head = at
-        if m in _TABLES:
-            table = at
-        if m == SOS and start is None and head is not None and table is not None and table >= head:
-            start = head
-        at += 2
+    marks = marker_places(data, 2 if intact else SECTOR)
+    start = image_start(marks)
     if start is None:
-        return out
-    out.update(start=start, eoi=eoi)
-    if intact:
-        return out | {"action": "intact"}
-    if eoi is None or eoi <= start:
+        return {"action": "none", "start": None, "eoi": None, "repaired": None}
+    soi, eoi = (max((a for a, c in marks if c == code), default=None) for code in (SOI, EOI))
+    out = {"action": "intact" if intact else "none", "start": start, "eoi": eoi, "repaired": None}
+    if intact or eoi is None or eoi <= start:
         return out
     prefix = b"\xff\xd8" if soi is None or soi < start else b""
     return out | {"action": "repaired", "repaired": prefix + data[start : eoi + 2]}

@@ -54,15 +54,19 @@ def directories(records: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def directory_conflicts(records: DataFrame, index: DataFrame) -> DataFrame:
-    """Directories that both passes know under another name or parent."""
-    a = last_wins(records.filter(is_directory(F.col("flags")) & F.col("name").isNotNull()).select("ref", F.col("name").alias("mft_name"), F.col("parent").alias("mft_parent"), _order(1).alias("ord")), "ref").drop("ord")
+    """Index entries of directories that are already known under another name or parent.
+
+    Known is the last record in use, else the first index entry.
+    """
+    a = directories(records, index).select("ref", F.col("name").alias("known_name"), F.col("parent").alias("known_parent"), F.col("origin").alias("known_from"))
     b = index.filter("is_dir").select("ref", F.col("name").alias("index_name"), F.col("parent").alias("index_parent"))
-    return a.join(b, "ref").filter((F.col("mft_name") != F.col("index_name")) | (F.col("mft_parent") != F.col("index_parent"))).distinct()
+    return a.join(b, "ref").filter((F.col("known_name") != F.col("index_name")) | (F.col("known_parent") != F.col("index_parent"))).distinct()
 
 
 def index_offsets(records: DataFrame, index: DataFrame) -> DataFrame:
-    """ref, record_at, index_at, delta: where a directory's index should lie and where it was found first."""
-    a = last_wins(records.filter("index_at IS NOT NULL").select("ref", F.col("index_at").alias("record_at"), _order(1).alias("ord")), "ref").drop("ord")
+    """ref, record_at, index_at, delta: where the index of a directory in use should lie and where it was found first."""
+    own = records.filter(in_use(F.col("flags")) & F.col("index_at").isNotNull())
+    a = last_wins(own.select("ref", F.col("index_at").alias("record_at"), _order(1).alias("ord")), "ref").drop("ord")
     b = first_wins(index.select(F.col("parent").alias("ref"), F.col("fpos").alias("index_at"), _order(2, idx=F.col("idx")).alias("ord")), "ref").drop("ord")
     return a.join(b, "ref").withColumn("delta", F.col("index_at") - F.col("record_at"))
 
@@ -78,9 +82,9 @@ def listing(rows: DataFrame, least: int = MIN_SIZE) -> DataFrame:
 
 
 def recoverable(records: DataFrame) -> DataFrame:
-    """Plain files whose runs are whole: in use, named, not compressed, of some size below 1 GiB."""
+    """Plain files whose runs are whole: in use, named, not compressed, not empty, of less than 1 GiB on disk."""
     clusters = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["len"])
-    keep = (F.col("flags") == 1) & F.col("name").isNotNull() & (F.col("compression") == 0) & (F.col("size") > 0) & (F.col("size") < MAX_FILE)
+    keep = (F.col("flags") == 1) & F.col("name").isNotNull() & (F.col("compression") == 0) & (F.col("size") > 0) & (clusters * 4096 < MAX_FILE)
     whole = (clusters * 4096 == F.col("allocated")) & F.col("run_error").isNull()
     return last_wins(records.filter(keep & whole).select("ref", "name", "parent", "size", "mtime", "runs", _order(1).alias("ord")), "ref").drop("ord")
 
@@ -129,10 +133,15 @@ def paths(dirs: DataFrame, max_depth: int = 1024) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint where the cluster names a folder for it."""
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster names for it.
+
+    A folder of our own is taken only where driver and executors are one machine.
+    """
     spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    if not named:
+    context = spark.sparkContext._jsc.sc()
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().isDefined()):
+        if not context.isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wrackline-checkpoint-"))

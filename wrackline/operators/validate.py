@@ -105,14 +105,24 @@ def _checked(kind: Column, content: Column) -> Column:
 def verdicts(files: DataFrame) -> DataFrame:
     """path, ext, errcnt, status of files (path, content).
 
-    Formats without a check, small files and null contents are settled natively.
+    One pass: formats without a check, small files and null contents are
+    settled natively and reach Python as a kind without content.
     """
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select("path", "content", F.coalesce(format_of(F.col("content"), name), F.lit("???")).alias("kind"))
-    checkable = F.col("kind").isin(*CHECKS)
-    found = rows.filter(checkable).select("path", _checked(F.col("kind"), F.col("content")).alias("v")).select("path", "v.ext", "v.errcnt", "v.status")
-    rest = rows.filter(~checkable).select("path", F.when(F.col("kind") == "dxf", "???").otherwise(F.col("kind")).alias("ext"), F.lit(-1).alias("errcnt"), F.lit("DUNNO").alias("status"))
-    return found.unionByName(rest)
+    kind = F.coalesce(format_of(F.col("content"), name), F.lit("???"))
+    kind = F.when(kind == "dxf", "???").otherwise(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, c in zip(b.column(1).to_pylist(), b.column(2)):
+                rows.append((-1, k, "DUNNO") if k not in CHECKS else verdict(k, c.as_py()))
+            errors, ext, status = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ext, pa.string()), pa.array(errors, pa.int32()), pa.array(status, pa.string())], names=["path", "ext", "errcnt", "status"])
+
+    rows = files.select("path", kind.alias("kind"), "content")
+    rows = rows.select("path", "kind", F.when(F.col("kind").isin(*CHECKS), F.col("content")).alias("content"))
+    return rows.mapInArrow(run, "path string, ext string, errcnt int, status string")
 
 
 def check_as(kind: str, content: Column) -> Column:
