@@ -35,8 +35,8 @@ def buffer_char(flags: Column, used: Column, sectors: Column) -> Column:
     return found.when(used == 0, "0").when(used == sectors, "*").otherwise(".")
 
 
-def heat_map(stats: DataFrame, columns: int = 128, whole: int | None = BUFFER // SECTOR) -> DataFrame:
-    """image, row, label and map: a character per buffer, 128 to a row.
+def heat_map(stats: DataFrame, columns: int = 128, whole: int | None = BUFFER // SECTOR, buffer: int = BUFFER) -> DataFrame:
+    """image, row, label and map: a character per buffer of ``buffer`` bytes, 128 to a row.
 
     With ``whole`` given, a buffer of fewer sectors than that is left out.  A
     row of the map is bounded by ``columns``.
@@ -45,7 +45,7 @@ def heat_map(stats: DataFrame, columns: int = 128, whole: int | None = BUFFER //
     row = F.call_function("div", F.col("buffer"), F.lit(columns))
     cells = rows.select("image", row.alias("row"), F.struct("buffer", buffer_char(F.col("flags"), F.col("used"), F.col("sectors")).alias("c")).alias("cell"))
     lines = cells.groupBy("image", "row").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-    label = F.call_function("div", F.col("row") * columns * BUFFER, F.lit(1 << 30))
+    label = F.call_function("div", F.col("row") * columns * buffer, F.lit(1 << 30))
     return lines.select("image", "row", F.concat(label.cast("string"), F.lit(" GB")).alias("label"), F.array_join(F.transform("cells", lambda x: x["c"]), "").alias("map"))
 
 
@@ -57,9 +57,19 @@ def usage(stats: DataFrame) -> DataFrame:
 
 def byte_xor(data: Column) -> Column:
     """Exclusive or of all bytes but 0 and 255."""
-    values = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))
-    kept = F.filter(values, lambda v: (v != 0) & (v != 255))
-    return F.when(F.octet_length(data) > 0, F.aggregate(kept, F.lit(0), lambda a, v: a.bitwiseXOR(v))).otherwise(F.lit(0))
+
+    @F.pandas_udf("int")
+    def run(column):
+        import numpy as np
+        import pandas as pd
+
+        def one(d) -> int:
+            v = np.frombuffer(d or b"", np.uint8)
+            return int(np.bitwise_xor.reduce(v[(v != 0) & (v != 255)], initial=0))
+
+        return pd.Series([one(d) for d in column], dtype="int32")
+
+    return run(data)
 
 
 def fingerprint_char(data: Column) -> Column:

@@ -132,19 +132,26 @@ def paths(dirs: DataFrame, max_depth: int = 1024) -> DataFrame:
     return state.select("ref", path.alias("path"), "depth", (F.col("orphan") | endless).alias("orphan"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names for it.
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A folder of our own is taken only where driver and executors are one machine.
+    One of our own is taken only where that is unset and both are one machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
-    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().isDefined()):
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not context.getCheckpointDir().isDefined():
         if not context.isLocal():
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wrackline-checkpoint-"))
+    return context.getCheckpointDir().get()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
