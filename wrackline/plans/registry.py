@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrackline.plans import blocks, catalogue, content, disk
+from wrackline.plans import blocks, catalogue, content, damage, disk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (blocks, catalogue, content, disk):
+for _module in (blocks, catalogue, content, damage, disk):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
