@@ -112,6 +112,25 @@ def test_network_is_a_pool_over_all_places():
     assert np.allclose(half, slow)
 
 
+def test_fit_pools_as_scoring_does():
+    rng = np.random.default_rng(3)
+    net = bytecnn.ByteCnn.blank(rng)
+    for n in (0, 1, 5, 6, 133, 134, 261, 262, 1000):
+        text = "".join(map(chr, rng.integers(32, 127, n)))
+        top, win = net.peaks(*bytecnn._halves(text))
+        assert np.allclose(top, net.halves(np.frombuffer(text.encode(), np.uint8)))
+        assert (win < np.maximum(1, bytecnn._halves(text)[1])[:, None]).all()
+
+
+def test_sample_is_bounded_by_ids_and_bytes(spark):
+    docs = spark.createDataFrame([(i % 400, "x" * 100) for i in range(1200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, quality int")
+    rows = bytecnn.fit_sample(docs, labels, "quality", 150, 5000).collect()
+    assert len(rows) == 50 == len({r.doc_id for r in rows})
+    assert bytecnn.fit_sample(docs, labels, "quality", 150).count() == 150
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+
+
 def test_odd_rows_and_empty_tables(spark, odd_docs, odd_rows, no_docs):
     labels = spark.createDataFrame([(7, 1, 0), (14, 0, 1), (16, 1, None), (999, 0, 1), (None, 1, 1), (1, 0, 0), (1, 1, 1)], "doc_id bigint, quality int, toxic int")
     none = labels.limit(0)

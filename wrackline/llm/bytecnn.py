@@ -17,18 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import doc_fold
+from wrackline.llm.common import checkpointed, doc_fold
 
 WIDTH = 6
 FILTERS = 24
 HALF = 128
-#: Bounds of the sample that the network is fitted on: labelled documents, and
-#: chunks of each, spread evenly over the whole of it.
-FIT_DOCS = 3000
-FIT_CHUNKS = 12
+#: Bounds of the sample that the network is fitted on: labelled documents, and bytes of all their texts.
+FIT_DOCS, FIT_BYTES = 3000, 10_000_000
+EPOCHS = 10
+BATCH_HALVES = 1 << 12
 THRESHOLD = 0.3
 
 
@@ -64,6 +64,15 @@ class ByteCnn:
             out[at // HALF : at // HALF + -(-m // HALF)] = np.maximum.reduceat(z, np.arange(0, m, HALF), axis=0)
         return out
 
+    def peaks(self, halves: np.ndarray, filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest filter value in each half chunk (a row of bytes), and its place."""
+        z = self.tables[0][halves[:, :HALF]]
+        for j in range(1, WIDTH):
+            z += self.tables[j][halves[:, j : j + HALF]]
+        z[np.arange(HALF) >= filled[:, None]] = -1e9
+        win = z.argmax(axis=1)
+        return np.take_along_axis(z, win[:, None, :], 1)[:, 0], win
+
     def score(self, text: str | None) -> float:
         data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
         half = self.halves(data)
@@ -73,61 +82,72 @@ class ByteCnn:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _chunks(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Up to FIT_CHUNKS chunks of a text, spread evenly and padded, and how many places of each count."""
+def _halves(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """All half chunks of a text, padded, and how many places of each count."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    size = 2 * HALF + WIDTH - 1
-    last = max(0, len(data) - size)
-    starts = np.unique(np.linspace(0, last, min(FIT_CHUNKS, 1 + -(-last // HALF))).astype(int))
-    out = np.zeros((len(starts), size), np.uint8)
-    for i, s in enumerate(starts):
-        out[i, : min(size, len(data) - s)] = data[s : s + size]
-    return out, np.clip(len(data) - starts - WIDTH + 1, 1, 2 * HALF)
-
-
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7, batch: int = 16) -> ByteCnn:
-    """Adam over the log loss; gradients pass through the winning position of each pool."""
+    n = max(1, len(data) - WIDTH + 1)
+    starts = np.arange(0, n, HALF)
+    padded = np.concatenate((data, np.zeros(starts[-1] + HALF + WIDTH - 1 - len(data), np.uint8))) if starts[-1] + HALF + WIDTH - 1 > len(data) else data
+    return np.lib.stride_tricks.sliding_window_view(padded, HALF + WIDTH - 1)[starts], np.minimum(HALF, n - starts)
+
+
+def _batches(sizes: np.ndarray, order: np.ndarray, batch: int) -> list[np.ndarray]:
+    """Runs of documents of at most ``batch`` documents and BATCH_HALVES half chunks, or of one."""
+    out, part, held = [], [], 0
+    for d in order:
+        if part and (len(part) == batch or held + sizes[d] > BATCH_HALVES):
+            out.append(np.array(part))
+            part, held = [], 0
+        part.append(d)
+        held += sizes[d]
+    return [*out, np.array(part)] if part else out
+
+
+def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, batch: int = 16) -> ByteCnn:
+    """Adam over the log loss of whole texts; gradients pass through the winning position of each pool."""
     rng = np.random.default_rng(seed)
     net = ByteCnn.blank(rng)
     if not len(texts) or labels.min() == labels.max():
         net.weights[:] = 0
         net.offset = 0.0 if not len(texts) else float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
         return net
-    chunks, filled = zip(*[_chunks(t) for t in texts])
+    halves, filled = zip(*[_halves(t) for t in texts])
+    sizes = np.array([len(h) for h in halves])
     rate = float(labels.mean())
     net.offset = float(np.log(rate / (1 - rate)))
     params = [net.tables, net.bias, net.weights]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step, spots = 0, 2 * HALF
+    step = 0
     for epoch in range(epochs):
         lr = 0.01 * (1 - epoch / epochs) + 0.001
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), batch):
-            docs = order[at : at + batch]
-            data = np.concatenate([chunks[d] for d in docs])
-            owner = np.repeat(np.arange(len(docs)), [len(chunks[d]) for d in docs])
+        for docs in _batches(sizes, rng.permutation(len(texts)), batch):
+            data = np.concatenate([halves[d] for d in docs])
+            top, win = net.peaks(data, np.concatenate([filled[d] for d in docs]))
+            # Chunks are two halves that lie side by side; one half alone is a chunk.
+            end = np.cumsum(sizes[docs])
+            left = np.arange(len(data))
+            left = left[(left + 1 < len(data)) & ~np.isin(left, end - 1) | np.isin(left, (end - 1)[sizes[docs] == 1])]
+            right = np.where(np.isin(left, end - 1), left, left + 1)
+            owner = np.searchsorted(end, left, side="right")
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             count = np.bincount(owner)[:, None]
-            z = net.tables[0][data[:, :spots]]
-            for j in range(1, WIDTH):
-                z += net.tables[j][data[:, j : j + spots]]
-            z[np.arange(spots) >= np.concatenate([filled[d] for d in docs])[:, None]] = -1e9
-            win = z.argmax(axis=1)
-            pooled = np.take_along_axis(z, win[:, None, :], 1)[:, 0] + net.bias
+            source = np.where(top[right] > top[left], right[:, None], left[:, None])
+            pooled = np.take_along_axis(top, source, 0) + net.bias
             act = np.maximum(pooled, 0)
-            top, mean = np.maximum.reduceat(act, first), np.add.reduceat(act, first) / count
-            feats = np.concatenate((top, mean), axis=1)
+            peak, mean = np.maximum.reduceat(act, first), np.add.reduceat(act, first) / count
+            feats = np.concatenate((peak, mean), axis=1)
             p = 1 / (1 + np.exp(-np.clip(feats @ net.weights + net.offset, -30, 30)))
             err = ((p - labels[docs]) / len(docs)).astype(np.float32)
             back = err[:, None] * net.weights
-            tied = (act == top[owner]) & (act > 0)
-            g_act = tied * back[owner, :FILTERS] + back[owner, FILTERS:] / count[owner]
-            g_pool = g_act * (pooled > 0)
+            tied = (act == peak[owner]) & (act > 0)
+            g_pool = (tied * back[owner, :FILTERS] + back[owner, FILTERS:] / count[owner]) * (pooled > 0)
+            g_half = np.zeros_like(top)
+            np.add.at(g_half, (source, np.arange(FILTERS)), g_pool)
             g_tables = np.zeros_like(net.tables)
-            rows, cols = np.nonzero(g_pool)
+            rows, cols = np.nonzero(g_half)
             where = win[rows, cols]
             for j in range(WIDTH):
-                np.add.at(g_tables[j], (data[rows, where + j], cols), g_pool[rows, cols])
+                np.add.at(g_tables[j], (data[rows, where + j], cols), g_half[rows, cols])
             grads = [g_tables + 1e-5 * net.tables, g_pool.sum(0), feats.T @ err + 1e-4 * net.weights]
             step += 1
             for p_, g, a, b in zip(params, grads, m, v):
@@ -138,22 +158,28 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7, b
     return net
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> DataFrame:
-    """A fixed sample of at most ``limit`` labelled documents outside fold 0: text, label."""
+def fit_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int, most_bytes: int | None = None) -> DataFrame:
+    """A fixed sample of at most ``limit`` labelled documents outside fold 0: doc_id, text, label.
+
+    Ids are taken in the order of a hash, one row for each (that of the least
+    text), and with ``most_bytes`` as long as their whole texts add up to no
+    more; the sample is written once.
+    """
     known = labels.filter(F.col(column).isin(0, 1) & (doc_fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(column).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> ByteCnn:
-    """Fit on a bounded sample of labelled documents, of which the driver gets the sampled chunks' texts."""
-    rows = fit_sample(docs, labels, "quality", limit)
-    span = (2 * HALF + WIDTH - 1) * FIT_CHUNKS
-    spread = F.when(F.char_length("text") <= span, F.col("text")).otherwise(
-        F.concat(*[F.substring(F.col("text"), (F.char_length("text") - span // FIT_CHUNKS) * i / (FIT_CHUNKS - 1) + 1, F.lit(span // FIT_CHUNKS)) for i in range(FIT_CHUNKS)])
-    )
-    got = sorted(rows.select("doc_id", spread.alias("text"), "label").collect(), key=lambda r: (r.doc_id, r.text))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    rows = checkpointed(rows)
+    if most_bytes is None:
+        return rows
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `limit` rows at most
+    return rows.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).drop("upto")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> ByteCnn:
+    """Fit on the whole texts of a bounded sample of labelled documents, on the driver."""
+    rows = fit_sample(docs, labels, "quality", limit, most_bytes)
+    got = sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in got], np.array([r.label for r in got], dtype=np.float32))
 
 
