@@ -48,3 +48,12 @@ def test_query_on_whole_table(spark, sf_dir):
     policy = UrlPolicy()
     urls = {r.page_id: r.url for r in pages.collect()}
     assert all((r.host, r.path, r.rule, r.verdict) == policy.judge(urls[r.page_id])[:4] for r in got)
+
+
+def test_policy_from_a_table_and_repeated_rows(spark):
+    terms = spark.createDataFrame([("Bad", None), ("so", 1.0), ("la", 1.5), ("", 1.0), (None, 1.0)], "term string, weight double")
+    policy = url_filter.policy_from(terms)
+    assert policy.strict == ("bad",) and policy.soft == {"so": 1.0, "la": 1.5}
+    pages = spark.createDataFrame([(1, "http://a.io/so-la"), (1, "http://a.io/so-la"), (2, "http://a.io/so"), (3, "http://bad.io"), (None, None)], "page_id bigint, url string")
+    got = sorted(((r.page_id, r.verdict) for r in url_filter.judge_urls(pages, policy).collect()), key=str)
+    assert got == [(1, "block"), (1, "block"), (2, "allow"), (3, "block"), (None, "allow")]
