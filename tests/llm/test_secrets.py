@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -66,3 +67,66 @@ def test_battery_tells_keys_from_words(spark):
     got = {r.doc_id: r.n_random for r in secrets.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert sum(got[i] for i in range(60)) >= 50
     assert sum(got[i] for i in range(60, len(rows))) <= 2
+
+
+def phi(z: float) -> float:
+    z = max(min(z, 12.0), -12.0)
+    return 1 / (1 + math.exp(-1.5976 * z - 0.07056 * z**3))
+
+
+def slow_battery(token: str) -> tuple[float, float]:
+    """p_random and p_text of a token, from the definitions of the three tests."""
+    alphabet, excess = next((a, e) for p, a, e in secrets.ENCODINGS if re.search(p, token))
+    n, k = len(token), len(alphabet)
+    expected = n / k
+    chi = sum((token.count(c) - expected) ** 2 / expected for c in alphabet)
+    uneven = phi(-(chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    high = [alphabet.index(c) >= k // 2 for c in token]
+    ones = sum(high)
+    mean = 1 + 2 * ones * (n - ones) / n
+    spread = math.sqrt(max(0.0, (mean - 1) * (mean - 2) / (n - 1)))
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    by_runs = 2 * phi(-abs((runs - mean) / spread)) if spread > 0 else 0.0
+    x = [alphabet.index(c) + 1.0 for c in token]
+    m = sum(x) / n
+    var = sum(v * v for v in x) - n * m * m
+    r = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / var if var > 0 else 0
+    serial = 2 * phi(-abs((r + 1 / n) * math.sqrt(n))) if var > 0 else 0.0
+    text = phi((chi - (k - 1 + (n - 1) * excess)) / math.sqrt(2 * (k - 1) + 4 * (n - 1) * excess))
+    return min(1.0, 3 * min(uneven, by_runs, serial)), text
+
+
+def slow_random(text: str) -> list[tuple[int, int, int]]:
+    found = list(re.finditer(secrets.TOKEN, text))
+    if not found:
+        return []
+    mixed = lambda t: re.search("[0-9]", t) and re.search("[A-Za-z]", t)
+    p = [slow_battery(m[0]) if mixed(m[0]) else (0.0, 1.0) for m in found]
+    mean = sum(len(m[0]) for m in found) / len(found)
+    w = [b * mean / len(m[0]) for (_, b), m in zip(p, found)]
+    limit = max([x for i, x in enumerate(sorted(w)) if x <= secrets.FALSE_SHARE * (i + 1) / len(w)], default=-1.0)
+    return [(m.start(), 3, m.end()) for m, x, (a, _) in zip(found, w, p) if x <= limit and a >= secrets.REJECT_RANDOM]
+
+
+def test_random_spans_against_brute_force(spark, sf_dir):
+    rng = random.Random(8)
+    alphabets = [string.ascii_letters + string.digits, string.digits + "abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits + "-_"]
+    rows = [(i, " ".join("".join(rng.choice(rng.choice(alphabets) if rng.random() < 0.05 else a) for _ in range(rng.randint(15, 70))) for a in rng.choices(alphabets, k=rng.randint(0, 5)))) for i in range(300)]
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.spans for r in secrets.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    off = [d for d, t in rows if [s for s in got[d].split(",") if s.startswith("random")] != written(slow_random(t or "")).split(",") and (slow_random(t or "") or "random" in got[d])]
+    assert off == []
+
+
+def test_share_of_random_keys_that_are_found(spark):
+    """Of keys over letters and digits: most of 32 characters, nearly all of 40 and more; no path or identifier."""
+    rng = random.Random(9)
+    sizes, each = (20, 24, 32, 40, 64), 300
+    rows = [(1000 * n + i, "key " + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))) for n in sizes for i in range(each)]
+    words = ["service", "billing", "report", "module", "handler", "default", "2023", "v2", "config", "north", "user", "item"]
+    rows += [(i, "see " + rng.choice("-_/").join(rng.choice(words) for _ in range(6))) for i in range(900)]
+    got = {r.doc_id: r.n_random for r in secrets.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    share = {n: sum(got[1000 * n + i] for i in range(each)) / each for n in sizes}
+    print(share, sum(got[i] for i in range(900)))
+    assert share[32] >= 0.9 and share[40] >= 0.97 and share[64] >= 0.97
+    assert sum(got[i] for i in range(900)) <= 9
