@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from wrackline.functions import archive, dates, images, jpeg, ole, pdf
+from wrackline.functions import ansi, archive, dates, images, jpeg, ole, pdf
 from wrackline.operators import repair, validate
 
 RNG = random.Random(1)
@@ -209,3 +209,13 @@ def test_streamed_verdicts(spark, tmp_path):
     assert sorted(r.status for r in spark.sql("SELECT * FROM seen").collect()) == ["DUNNO", "OK"]
     kinds = watch.arriving_kinds(spark, str(tmp_path / "in"))
     assert kinds.isStreaming and kinds.columns == ["window", "kind", "n"]
+
+
+def test_cells_of_colours():
+    assert ansi.mixed((0, 0, 0)) == (0, 4, 0) and ansi.cell((0, 0, 0)).endswith(" ")
+    assert ansi.mixed((216, 216, 216))[0] == 15 and ansi.cell((216, 216, 216)).startswith("\x1b[107m")
+    assert ansi.rgb_of(-2000) == (0, 0, 0) and ansi.rgb_of(0, 0, 0) == (128, 128, 128) and ansi.rgb_of(0, 0, 800)[0] == 255
+    back, front, shade = ansi.mixed((60, 60, 60))
+    assert {back, front} <= set(range(16)) and 0 <= shade < 5
+    shown = jpeg.preview(picture(), color=True).splitlines()
+    assert len(shown) == 6 and all(x.endswith(ansi.RESET) for x in shown)

@@ -8,6 +8,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from wrackline.functions import ansi
+
 SOI, EOI, SOS, DQT, DHT, DRI, SOF0, SOF2, APP2 = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xDD, 0xC0, 0xC2, 0xE2
 SECTOR = 512
 AFTER_SCAN = (SOS, EOI, DHT)
@@ -369,20 +371,33 @@ def decode(data: bytes) -> tuple[Decoder, list[tuple[int, int]]]:
 _SHADES = " .:-=+*#%@"
 
 
-def preview(data: bytes, columns: int = 64) -> str | None:
-    """Brightness of the image's blocks as text, a line per row of blocks; None without a decodable frame."""
+def preview(data: bytes, columns: int = 64, color: bool = False) -> str | None:
+    """The image's blocks as text, a line per row of blocks; None without a decodable frame.
+
+    Grey shades of the first component by default; with ``color``, cells of a
+    16-colour terminal from the first three.
+    """
     d, _ = decode(data)
     if not d.frame or not d.dc:
         return None
-    c = next(iter(d.frame.components))
-    values = d.dc.get(c) or {}
-    if not values:
+    parts = [c for c in list(d.frame.components)[: 3 if color else 1] if d.dc.get(c)]
+    first = next(iter(d.frame.components))
+    if first not in parts:
         return None
-    q = (d.quantisers.get(d.frame.components[c][2]) or [8])[0]
-    rows, cols = max(y for y, _ in values) + 1, max(x for _, x in values) + 1
+    quantiser = {c: (d.quantisers.get(d.frame.components[c][2]) or [8])[0] for c in parts}
+    h, v, _ = d.frame.components[first]
+
+    def level(c: int, y: int, x: int) -> int:
+        across, down, _ = d.frame.components[c]
+        return d.dc[c].get((y * down // v, x * across // h), 0) * quantiser[c]
+
+    rows, cols = (max(k[i] for k in d.dc[first]) + 1 for i in (0, 1))
     step = max(1, -(-cols // columns))
-    shade = lambda v: _SHADES[min(9, max(0, int((v * q / 8 + 128) * 10 / 256)))]
-    return "\n".join("".join(shade(values.get((y, x), 0)) for x in range(0, cols, step)) for y in range(0, rows, step))
+    grey = lambda y, x: _SHADES[min(9, max(0, int((level(first, y, x) / 8 + 128) * 10 / 256)))]
+    if not color:
+        return "\n".join("".join(grey(y, x) for x in range(0, cols, step)) for y in range(0, rows, step))
+    shown = parts if len(parts) == 3 else parts[:1]
+    return "\n".join("".join(ansi.cell(ansi.rgb_of(*[level(c, y, x) for c in shown])) for x in range(0, cols, step)) + ansi.RESET for y in range(0, rows, step))
 
 
 # ---- repair ---------------------------------------------------------------------------------------------

@@ -108,3 +108,12 @@ def totals(recovered: DataFrame) -> DataFrame:
     return recovered.agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes_wanted"), F.sum(F.octet_length("content")).alias("bytes_copied"), F.count_if(F.col("error").isNotNull()).alias("errors")
     )
+
+
+def tree_totals(recovered: DataFrame, depth: int = 1) -> DataFrame:
+    """The totals of each tree: of the folders at ``depth`` below the top, and of ``.`` for files above that."""
+    parts = F.filter(F.split("path", "/"), lambda p: (p != "") & (p != "."))
+    tree = F.when(F.size(parts) > depth, F.array_join(F.slice(parts, 1, depth), "/")).otherwise(F.lit("."))
+    return recovered.groupBy(tree.alias("tree")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes_wanted"), F.sum(F.octet_length("content")).alias("bytes_copied"), F.count_if(F.col("error").isNotNull()).alias("errors")
+    )

@@ -21,7 +21,7 @@ def repaired_jpegs(files: DataFrame) -> DataFrame:
     return files.select("path", run("content").alias("r")).select("path", "r.*")
 
 
-def previews(files: DataFrame, columns: int = 64) -> DataFrame:
+def previews(files: DataFrame, columns: int = 64, color: bool = False) -> DataFrame:
     """path and a text preview of the JPEG's blocks, null where there is none."""
 
     @F.pandas_udf("string")
@@ -30,7 +30,7 @@ def previews(files: DataFrame, columns: int = 64) -> DataFrame:
 
         def one(c):
             try:
-                return jpeg.preview(c or b"", columns)
+                return jpeg.preview(c or b"", columns, color)
             except Exception:  # a preview is worth no failure
                 return None
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrackline.functions import archive, codecs, images, jpeg, ntfs, ole, pdf
+from wrackline.functions import ansi, archive, codecs, images, jpeg, ntfs, ole, pdf
 from wrackline.operators import catalogue, match, repair, signatures, validate
 from wrackline.operators import ntfs as records
 from wrackline.plans.blocks import _HEADS, _N
@@ -198,6 +198,27 @@ def jpeg_scan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(F.col("path").cast("bigint").alias("id"), "units", "expected", F.size(lines).alias("lines"), F.char_length(F.get(lines, 0)).alias("columns")).withColumn("lines", F.when(F.col("columns").isNotNull(), F.col("lines")))
 
 
+_RGB = ("p_partkey * 37 % 256", "p_partkey * 91 % 256", "p_partkey * 151 % 256")
+
+
+@query(f"""
+WITH c AS (SELECT * FROM (VALUES {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(ansi.PALETTE))}) t(i, r, g, b)),
+p AS (SELECT p_partkey, i, row_number() OVER (PARTITION BY p_partkey ORDER BY (r - {_RGB[0]})^2 + (g - {_RGB[1]})^2 + (b - {_RGB[2]})^2, i) AS place FROM part, c)
+SELECT p_partkey AS id, max(i) FILTER (WHERE place = 1) AS best, max(i) FILTER (WHERE place = 2) AS second FROM p GROUP BY p_partkey""")
+def palette_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two palette colours nearest to a colour per part."""
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ansi.nearest_colours(*[F.expr(x) for x in _RGB]).alias("c"))
+    return found.select("id", F.col("c")[0].alias("best"), F.col("c")[1].alias("second"))
+
+
+@query("SELECT c_custkey AS id, 8 AS lines, 96 AS cells FROM customer")
+def color_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Previews in cells of a 16-colour terminal, a cell per block of the image."""
+    seen = repair.previews(_files(spark, sf_dir, lambda i, k: _jpg(i, 0), 1), color=True)
+    cells = F.regexp_extract_all("preview", F.lit("\\x1b\\[(4|10)[0-7]m\\x1b\\[[39][0-7]m[ ░▒▓█]"), F.lit(0))
+    return seen.select(F.col("path").cast("bigint").alias("id"), F.size(F.split("preview", "\n")).alias("lines"), F.size(cells).alias("cells"))
+
+
 # ---- run lists --------------------------------------------------------------------------------------------
 
 #: Bytes after a sound run of 10 clusters at 5 (3 bytes), the unit, the total that is meant, and what is found.

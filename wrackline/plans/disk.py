@@ -211,6 +211,16 @@ def disk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answer(recover.totals(recover.restored(plain, path)), path)
 
 
+@query(f"WITH d AS ({_DOCS}), r AS (SELECT * FROM d WHERE size > 0 AND doc_id % 10 <> 9 AND (doc_id % 4 < 2 OR doc_id % 4 = 3 AND size <= 4096)) SELECT lang AS tree, count(*) AS files, sum(size)::BIGINT AS bytes_wanted, sum(size)::BIGINT AS bytes_copied, 0::BIGINT AS errors FROM r GROUP BY lang")
+def disk_tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dry run of copying each folder's tree."""
+    path = _disk(spark, sf_dir)
+    found, index = records.scan_image(spark, path)
+    plain = catalogue.recoverable(found).filter("name LIKE 'doc-%'")
+    named = catalogue.with_paths(plain, catalogue.paths(catalogue.directories(found, index)))
+    return _answer(recover.tree_totals(recover.restored(named, path)), path)
+
+
 @query("""
 WITH n AS (SELECT count(*) AS docs FROM documents), m AS (SELECT greatest(128, (8 + 3 * docs + 3) // 4) AS mft FROM n)
 SELECT 4096::BIGINT AS cluster, 0::BIGINT AS part_start, mft - 1 AS last_vcn, ' bs=4096 skip=16 count=' || mft AS command FROM m""")
