@@ -125,6 +125,12 @@ def verdicts(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "path string, ext string, errcnt int, status string")
 
 
+def bad_plan(found: DataFrame, folder: str) -> DataFrame:
+    """action, source, target: copies of files with errors, under their extension and name; never carried out."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.filter("status = 'BAD'").select(F.lit("copy").alias("action"), F.col("path").alias("source"), F.concat_ws("/", F.lit(folder), "ext", name).alias("target"))
+
+
 def check_as(kind: str, content: Column) -> Column:
     """errcnt of a content under one check, whatever its magic."""
     return _checked(F.lit(kind), content)["errcnt"]

@@ -162,6 +162,13 @@ def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.folder_counts(validate.verdicts(files)).select("folder", "files", "ok", "bad")
 
 
+@query("SELECT 'copy' AS action, 'd/' || c_custkey AS source, 'bad/gif/' || c_custkey AS target FROM customer WHERE c_custkey % 6 <> 0")
+def bad_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where files with errors would be put aside."""
+    files = _files(spark, sf_dir, _gif, 6).withColumn("path", F.concat(F.lit("d/"), "path"))
+    return validate.bad_plan(validate.verdicts(files), "bad")
+
+
 # ---- JPEG ------------------------------------------------------------------------------------------------
 
 
