@@ -219,3 +219,15 @@ def test_cells_of_colours():
     assert {back, front} <= set(range(16)) and 0 <= shade < 5
     shown = jpeg.preview(picture(), color=True).splitlines()
     assert len(shown) == 6 and all(x.endswith(ansi.RESET) for x in shown)
+
+
+def test_progressive_scans_and_their_refinements():
+    rng = random.Random(4)
+    blocks = [[rng.randint(-300, 300), *[rng.choice((0, 0, 1, -1, 2, -3, 9)) for _ in range(15)]] for _ in range(24)]
+    good = jpeg.make_progressive(48, 32, blocks)
+    d, scans = jpeg.decode(good)
+    assert scans == [(24, 24)] * 4 and jpeg.check_jpeg(good) == 0
+    assert [d.set_ac.get((1, i // 6, i % 6), 0) for i in range(24)] == [sum(1 << k for k, v in enumerate(b) if k and v) for b in blocks]
+    assert [d.dc[1][i // 6, i % 6] for i in range(24)] == [b[0] >> 1 << 1 for b in blocks]
+    broken = good[:-40] + b"\xff\xd9"
+    assert jpeg.decode(broken)[1][3][0] < 24

@@ -58,13 +58,15 @@ class Bits:
     """Bits of unstuffed scan data, most significant first; zeros after the end, within reason."""
 
     def __init__(self, data: bytes) -> None:
-        self.value, self.size, self.at = int.from_bytes(data, "big"), 8 * len(data), 0
+        self.data, self.size, self.at = data, 8 * len(data), 0
 
     def peek(self, n: int) -> int:
-        left = self.size - self.at
-        if left <= 0:
+        """The next n bits, 24 at most."""
+        if self.at >= self.size:
             raise JpegError("the scan ends early")
-        return self.value >> (left - n) & ((1 << n) - 1) if left >= n else (self.value & ((1 << left) - 1)) << (n - left)
+        i = self.at >> 3
+        window = int.from_bytes(self.data[i : i + 4].ljust(4, b"\0"), "big")
+        return window >> (32 - (self.at & 7) - n) & ((1 << n) - 1)
 
     def skip(self, n: int) -> None:
         self.at += n
@@ -167,6 +169,7 @@ class Decoder:
     quantisers: dict[int, list[int]] = field(default_factory=dict)
     restart: int = 0
     dc: dict[int, dict[tuple[int, int], int]] = field(default_factory=dict)
+    set_ac: dict[tuple[int, int, int], int] = field(default_factory=dict)  # of a block: a bit for each value other than zero
 
     def _blocks(self, chosen: list[int]) -> Iterator[list[tuple[int, int, int]]]:
         """(component, row, column) of the blocks of each unit."""
@@ -205,7 +208,8 @@ class Decoder:
             try:
                 for c, y, x in unit:
                     if self.frame.progressive and start:
-                        run = self._ac_progressive(bits, self.codes[1, tables[c][1]], start, stop, high, run)
+                        walk = self._ac_refined if high else self._ac_progressive
+                        run = walk(bits, self.codes[1, tables[c][1]], (c, y, x), start, stop, run)
                     elif high:
                         bits.take(1)
                     else:
@@ -230,11 +234,8 @@ class Decoder:
                 raise JpegError("a block of over 64 values")
             bits.skip(s & 15)
 
-    @staticmethod
-    def _ac_progressive(bits: Bits, code: Huffman, start: int, stop: int, high: int, run: int) -> int:
-        """One block of a first AC scan; refinement scans are only walked over."""
-        if high:
-            raise JpegError("refinement scans are not decoded")
+    def _ac_progressive(self, bits: Bits, code: Huffman, place: tuple[int, int, int], start: int, stop: int, run: int) -> int:
+        """One block of a first AC scan; returns how many blocks after it are zero as well."""
         if run:
             return run - 1
         k = start
@@ -243,10 +244,42 @@ class Decoder:
             skip, size = s >> 4, s & 15
             if size == 0 and skip < 15:
                 return (1 << skip) + bits.take(skip) - 1
-            k += skip + 1
-            bits.skip(size)
+            k += skip
+            if size:
+                bits.skip(size)
+                if k <= stop:
+                    self.set_ac[place] = self.set_ac.get(place, 0) | 1 << k
+            k += 1
         return 0
 
+    def _ac_refined(self, bits: Bits, code: Huffman, place: tuple[int, int, int], start: int, stop: int, run: int) -> int:
+        """One block of a refinement scan: a bit for each value that is set, and values that are set anew."""
+        known, k, fresh = self.set_ac.get(place, 0), start, 0
+        while not run and k <= stop:
+            s = code.read(bits)
+            zeros, size = s >> 4, s & 15
+            if size > 1:
+                raise JpegError("a refinement of more than one bit")
+            if not size and zeros < 15:
+                run = (1 << zeros) + bits.take(zeros)
+                break
+            bits.skip(size)
+            while k <= stop:
+                if known >> k & 1:
+                    bits.skip(1)
+                elif zeros:
+                    zeros -= 1
+                else:
+                    fresh |= size << k
+                    k += 1
+                    break
+                k += 1
+        if run:
+            bits.skip((known >> k & ((1 << max(0, stop - k + 1)) - 1)).bit_count())
+            run -= 1
+        self.set_ac[place] = known | fresh
+        return run
+
 
 def multi_picture(body: bytes) -> list[dict]:
     """Pictures (size, offset) that a multi-picture index lists."""
@@ -454,7 +487,7 @@ def repair_jpeg(data: bytes) -> dict:
     return out | {"action": "repaired", "repaired": prefix + data[start : eoi + 2]}
 
 
-# ---- encoder, for tests -------------------------------------------------------------------------------------
+# ---- encoders, for tests ------------------------------------------------------------------------------------
 
 
 def make_jpeg(width: int, height: int, levels: list[int]) -> bytes:
@@ -480,3 +513,69 @@ def make_jpeg(width: int, height: int, levels: list[int]) -> bytes:
     tables = segment(DQT, b"\0" + bytes([8]) * 64) + segment(SOF0, struct.pack(">BHHB", 8, height, width, 1) + b"\1\x11\0")
     tables += segment(DHT, b"\0" + counts + bytes(range(12))) + segment(DHT, b"\x10" + bytes([0, 1] + [0] * 14) + b"\0")
     return b"\xff\xd8" + app + tables + segment(SOS, b"\1\1\0\0\x3f\0") + raw + b"\xff\xd9"
+
+
+class _Writer:
+    """Bits of a scan; symbols have codes of eight bits, their own number."""
+
+    def __init__(self) -> None:
+        self.text: list[str] = []
+
+    def put(self, value: int, n: int) -> None:
+        if n:
+            self.text.append(f"{value:0{n}b}")
+
+    def signed(self, value: int) -> None:
+        n = abs(value).bit_length()
+        self.put(value if value >= 0 else value + (1 << n) - 1, n)
+
+    def done(self) -> bytes:
+        whole = "".join(self.text)
+        whole += "1" * (-len(whole) % 8)
+        return int(whole or "0", 2).to_bytes(len(whole) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+def make_progressive(width: int, height: int, blocks: list[list[int]]) -> bytes:
+    """A grey progressive image of blocks of up to 16 values in zigzag order: first scans without the last bit, then refinements."""
+    size = lambda v: abs(v).bit_length()
+    half = lambda v: (abs(v) >> 1) * (1 if v > 0 else -1)
+    scans, before = [_Writer() for _ in range(4)], 0
+    for b in blocks:
+        dc, ac = b[0] >> 1, b[1:]
+        scans[0].put(size(dc - before), 8)
+        scans[0].signed(dc - before)
+        before = dc
+        scans[1].put(b[0] & 1, 1)
+        zeros = 0
+        for v in ac:
+            if not half(v):
+                zeros += 1
+                continue
+            scans[2].put(zeros << 4 | size(half(v)), 8)
+            scans[2].signed(half(v))
+            zeros = 0
+        scans[2].put(0, 8)
+        zeros, late = 0, []
+        for v in ac:
+            if half(v):
+                late.append(abs(v) & 1)
+            elif not v:
+                zeros += 1
+            else:
+                scans[3].put(zeros << 4 | 1, 8)
+                scans[3].put(v > 0, 1)
+                for bit in late:
+                    scans[3].put(bit, 1)
+                zeros, late = 0, []
+        scans[3].put(0, 8)
+        for bit in late:
+            scans[3].put(bit, 1)
+
+    def segment(m: int, body: bytes) -> bytes:
+        return bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    counts = bytes([0] * 7 + [255] + [0] * 8)
+    head = segment(DQT, b"\0" + bytes([8]) * 64) + segment(SOF2, struct.pack(">BHHB", 8, height, width, 1) + b"\1\x11\0")
+    head += segment(DHT, b"\0" + counts + bytes(range(255))) + segment(DHT, b"\x10" + counts + bytes(range(255)))
+    heads = (b"\0\0\x01", b"\0\0\x10", b"\x01\x3f\x01", b"\x01\x3f\x10")
+    return b"\xff\xd8" + head + b"".join(segment(SOS, b"\1\1\0" + h) + w.done() for h, w in zip(heads, scans)) + b"\xff\xd9"

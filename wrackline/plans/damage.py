@@ -205,6 +205,18 @@ def jpeg_scan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(F.col("path").cast("bigint").alias("id"), "units", "expected", F.size(lines).alias("lines"), F.char_length(F.get(lines, 0)).alias("columns")).withColumn("lines", F.when(F.col("columns").isNotNull(), F.col("lines")))
 
 
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 72 ELSE 96 END AS units, CASE WHEN c_custkey % 3 = 1 THEN 72 ELSE 96 END AS expected FROM customer")
+def progressive_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded units of progressive images, first scans and refinements; a third has lost the last scan."""
+
+    def make(i: int, k: int) -> bytes:
+        blocks = [[(i * 7 + y * 31) % 601 - 300, *[(0, 0, 1, -1, 2, -3, 9)[(i + y * 5 + z * z) % 7] for z in range(15)]] for y in range(24)]
+        whole = jpeg.make_progressive(48, 32, blocks)
+        return whole[: whole.rindex(b"\xff\xda")] + b"\xff\xd9" if k == 1 else whole
+
+    return repair.scan_health(_files(spark, sf_dir, make, 3)).select(F.col("path").cast("bigint").alias("id"), "units", "expected")
+
+
 _RGB = ("p_partkey * 37 % 256", "p_partkey * 91 % 256", "p_partkey * 151 % 256")
 
 
