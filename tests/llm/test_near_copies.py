@@ -88,6 +88,25 @@ def test_a_large_component_is_compared_in_parts(spark, monkeypatch):
     assert components(spark, rows) == brute(rows)
 
 
+def test_a_dense_group_needs_no_tiles_and_stragglers_meet_all(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "GROUP_DOCS", 10)
+    rng = random.Random(9)
+    words = prose(rng, 200).split()
+    # 80 copies that are close to one another, and some that are near only few of them.
+    rows = [(i, " ".join(edited(rng, words, "scattered", 0.03))) for i in range(80)]
+    far = words
+    for i in range(80, 110):
+        far = edited(rng, far if i % 3 else rows[rng.randrange(80)][1].split(), "block", 0.12)
+        rows.append((i, " ".join(far)))
+    want = brute(rows)
+    assert len(set(want.values())) > 1
+    assert components(spark, rows) == want
+    tiles = []
+    monkeypatch.setattr(near_copies, "_tiles", lambda nodes, make=near_copies._tiles: tiles.append(nodes.count()) or make(nodes))
+    assert components(spark, rows[:80]) == {i: 0 for i in range(80)}
+    assert tiles == [0]
+
+
 def test_stage_on_a_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
