@@ -191,7 +191,7 @@ def jpeg_thumbnail_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select(F.col("path").cast("bigint").alias("id"), "action", same("path", F.when(F.col("action") == "intact", F.col("content")).otherwise(F.col("repaired"))).alias("same"))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 0 ELSE 96 END AS units, CASE WHEN c_custkey % 3 = 1 THEN 0 ELSE 96 END AS expected, CASE WHEN c_custkey % 3 <> 1 THEN 8 END AS lines, CASE WHEN c_custkey % 3 <> 1 THEN 12 END AS columns FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 0 ELSE 96 END::BIGINT AS units, CASE WHEN c_custkey % 3 = 1 THEN 0 ELSE 96 END::BIGINT AS expected, CASE WHEN c_custkey % 3 <> 1 THEN 8 END AS lines, CASE WHEN c_custkey % 3 <> 1 THEN 12 END AS columns FROM customer")
 def jpeg_scan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded units that decode, those there should be, and the size of the preview; a third has no frame."""
 
@@ -205,7 +205,7 @@ def jpeg_scan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select(F.col("path").cast("bigint").alias("id"), "units", "expected", F.size(lines).alias("lines"), F.char_length(F.get(lines, 0)).alias("columns")).withColumn("lines", F.when(F.col("columns").isNotNull(), F.col("lines")))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 72 ELSE 96 END AS units, CASE WHEN c_custkey % 3 = 1 THEN 72 ELSE 96 END AS expected FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 72 ELSE 96 END::BIGINT AS units, CASE WHEN c_custkey % 3 = 1 THEN 72 ELSE 96 END::BIGINT AS expected FROM customer")
 def progressive_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded units of progressive images, first scans and refinements; a third has lost the last scan."""
 
@@ -320,7 +320,7 @@ def record_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select((F.col("fpos") / 1024).cast("bigint").alias("id"), records.sane_record(d).alias("strict"), records.sane_record(d, False).alias("lenient"), records.plausible_record(d).alias("plausible"), head["ref"].alias("ref"), head["flags"].cast("int").alias("flags"))
 
 
-@query("SELECT c_custkey AS ref, CASE c_custkey % 3 WHEN 0 THEN 777 WHEN 1 THEN 4000 ELSE 12 END AS size, CASE c_custkey % 3 WHEN 0 THEN 'c' ELSE 'a' END AS name, CASE c_custkey % 3 WHEN 1 THEN 20 END AS lcn, CASE c_custkey % 3 WHEN 1 THEN 2 ELSE 0 END AS streams FROM customer")
+@query("SELECT c_custkey AS ref, CASE c_custkey % 3 WHEN 0 THEN 777 WHEN 1 THEN 4000 ELSE 12 END::BIGINT AS size, CASE c_custkey % 3 WHEN 0 THEN 'c' ELSE 'a' END AS name, CASE c_custkey % 3 WHEN 1 THEN 20 END::BIGINT AS lcn, CASE c_custkey % 3 WHEN 1 THEN 2 ELSE 0 END AS streams FROM customer")
 def record_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of zero in names, two unnamed data, and a named stream that does not count."""
 
