@@ -1,7 +1,9 @@
 """Repeated passages across documents, by a sparse suffix array.
 
 A passage of ``PASSAGE`` (50) or more words that also stands in another
-document is found, exactly and wherever it lies.
+document is found wherever it lies, with whole extent on either side.  Equal
+means equal hashes: of 64 bits for runs of words, of 32 for the single words
+beside them.
 
 * Sparse suffixes: only those are kept that start at a minimiser, the least
   hash of 8 words among 19 neighbours.  Every run of 50 words has one within
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed
+from wrackline.llm.common import checkpointed, sized
 from wrackline.llm.wordhash import grams, mix, words
 
 PASSAGE = 50
@@ -269,11 +271,13 @@ def repeated_passages(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFram
     result = f"doc_id {kind}, n_spans long, repeated_words long, spans string"
     schemas = {x: to_arrow_schema(_parse_datatype_string(x)) for x in (ranges, result)}
 
-    found = anchors(keyed)
+    found = checkpointed(anchors(keyed))  # 20 bytes a suffix, and read twice
     several = found.groupBy("anchor").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
     several = checkpointed(several.select("anchor", "n"))  # a small part of the anchors, and read three times
-    places = found.join(several, "anchor").groupBy("row_key").agg(F.collect_list("pos").alias("places"))
-    rows = surroundings(keyed.join(places, "row_key"))
+    places = checkpointed(found.join(several, "anchor").groupBy("row_key").agg(F.collect_list("pos").alias("places")))
+    # Only texts with a candidate are shuffled, as long as these are few enough to be told apart where texts are read.
+    texts = keyed.join(sized(checkpointed(places.select("row_key"))), "row_key", "left_semi")
+    rows = surroundings(texts.join(places, "row_key"))
     if several.filter(F.col("n") > group_rows).isEmpty():
         small, wide = rows, None
     else:
