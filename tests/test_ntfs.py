@@ -185,6 +185,9 @@ def test_matching(spark):
     table_n = spark.createDataFrame([(s, n, t, m, (1, i, 0)) for s, n, t, m, i in named], "size bigint, name string, path string, mtime bigint, ord struct<pass:int,fpos:bigint,idx:int>")
     table_f = spark.createDataFrame(files, "path string, size bigint, mtime bigint, ext string")
     table_e = spark.createDataFrame([(e,) for e in existing], "path string")
+    for limit in (1, 3, 7):
+        whole, parts = (sorted(map(str, match.match_nearest(table_f, table_n, table_e, window_times=n).collect())) for n in (10**6, limit))
+        assert whole == parts
     got = match.match_nearest(table_f, table_n, table_e).collect()
     assert {r.path: (r.status, r.best, r.dist, r.n_names, r.n_absent, r.n_total) for r in got} == brute_match(files, named, existing)
     claims = [r.best for r in got if r.best]

@@ -30,36 +30,75 @@ def candidates(named: DataFrame, existing: DataFrame | None = None) -> DataFrame
     return _missing(rows.filter(~F.col("name").startswith("~")), existing)
 
 
-def match_nearest(files: DataFrame, named: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+#: Distinct times of one size and extension up to which they are one window.
+WINDOW_TIMES = 1_000_000
+
+
+def _neighbours(times: DataFrame, *by: str) -> DataFrame:
+    """``times`` (size, ext, mtime, e) with the entries at or before and at or after each time, among rows of equal ``by``."""
+    found = F.when(F.col("e").isNotNull(), F.struct("mtime", "e"))
+    near = times
+    for name, order in (("before", F.col("mtime").asc()), ("after", F.col("mtime").desc())):
+        span = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        near = near.withColumn(name, F.last(found, ignorenulls=True).over(span))
+    return near
+
+
+def _neighbours_in_parts(times: DataFrame, groups: DataFrame, each: int) -> DataFrame:
+    """The same for groups (size, ext, n, low, high) of very many times, cut into ranges that carry their ends over."""
+    key = ["size", "ext", "part"]
+    share = (F.col("mtime") - F.col("low")) / (F.col("high") - F.col("low") + 1)
+    cut = times.join(F.broadcast(groups), ["size", "ext"]).withColumn("part", F.floor(share * F.ceil(F.col("n") / each)))
+    cut = _cut(cut.select(*key, "mtime", "e"))
+    found = F.when(F.col("e").isNotNull(), F.struct("mtime", "e"))
+    ends = cut.groupBy(*key).agg(F.max_by(found, F.when(F.col("e").isNotNull(), F.col("mtime"))).alias("last"), F.min_by(found, F.when(F.col("e").isNotNull(), F.col("mtime"))).alias("first"))
+    parts = Window.partitionBy("size", "ext").orderBy("part")
+    ends = ends.select(
+        *key,
+        F.last("last", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("first", ignorenulls=True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+    )
+    near = _neighbours(cut, *key).join(ends, key)
+    return near.select("size", "ext", "mtime", "e", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
+
+
+def match_nearest(files: DataFrame, named: DataFrame, existing: DataFrame | None = None, window_times: int = WINDOW_TIMES) -> DataFrame:
     """path, status, best, dist, n_names, n_absent, n_total, conflict of each file.
 
     ``files`` has path, size, mtime, ext; ``named`` has size, name, path,
     mtime, ord.  UNKNOWN: no entry of that size; BAD: none that fits; OK: the
     fitting one with the nearest time, of equal ones the first by ``ord``.
     ``conflict`` marks a name that more files than one would get.
+
+    Files and entries of one size, extension and time count as one row while
+    neighbours are looked for; a size and extension with over ``window_times``
+    times is cut into ranges of time.
     """
     fit = candidates(named, existing)
-    totals = named.groupBy("size").agg(F.count(F.lit(1)).alias("n_total"))
-    absent = fit.groupBy("size").agg(F.count(F.lit(1)).alias("n_absent"))
+    counts = named.select("size", F.lit(1).alias("t"), F.lit(0).alias("a")).unionAll(fit.select("size", F.lit(0), F.lit(1)))
+    counts = counts.groupBy("size").agg(F.sum("t").alias("n_total"), F.sum("a").alias("n_absent"))
     names = fit.groupBy("size", "ext").agg(F.countDistinct("target").alias("n_names"))
     spots = fit.groupBy("size", "ext", "mtime").agg(F.min_by(F.struct("target", "ord"), "ord").alias("e"))
+    asked = files.select("size", "ext", "mtime", F.lit(None).cast(spots.schema["e"].dataType).alias("e"))
+    times = spots.unionByName(asked).groupBy("size", "ext", "mtime").agg(F.max("e").alias("e"))
 
-    none = F.lit(None)
-    left = files.select("size", "ext", "mtime", "path", none.cast(spots.schema["e"].dataType).alias("e"), F.lit(1).alias("side"))
-    right = spots.select("size", "ext", "mtime", none.cast("string").alias("path"), "e", F.lit(0).alias("side"))
-    both = left.unionByName(right)
-    found = F.when(F.col("e").isNotNull(), F.struct("mtime", "e"))
-    up = Window.partitionBy("size", "ext").orderBy("mtime", "side").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("size", "ext").orderBy(F.col("mtime").desc(), F.col("side").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    near = both.select("*", F.last(found, ignorenulls=True).over(up).alias("before"), F.last(found, ignorenulls=True).over(down).alias("after")).filter("side = 1")
+    groups = times.groupBy("size", "ext").agg(F.count(F.lit(1)).alias("n"), F.min("mtime").alias("low"), F.max("mtime").alias("high")).filter(F.col("n") > window_times)
+    groups = _cut(groups)  # few: each stands for as many rows
+    if groups.isEmpty():
+        near = _neighbours(times, "size", "ext")
+    else:
+        few = times.join(F.broadcast(groups.select("size", "ext")), ["size", "ext"], "left_anti")
+        near = _neighbours(few, "size", "ext").unionByName(_neighbours_in_parts(times, groups, window_times))
 
     def option(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["mtime"] - F.col("mtime")).alias("dist"), F.col(c)["e"]["ord"].alias("ord"), F.col(c)["e"]["target"].alias("target")))
 
-    best = near.select("path", "size", "ext", F.array_min(F.filter(F.array(option("before"), option("after")), lambda x: x.isNotNull())).alias("b"))
-    out = best.join(totals, "size", "left").join(absent, "size", "left").join(names, ["size", "ext"], "left")
+    best = near.select(F.col("size").alias("b_size"), F.col("ext").alias("b_ext"), F.col("mtime").alias("b_mtime"), F.array_min(F.filter(F.array(option("before"), option("after")), lambda x: x.isNotNull())).alias("b"))
+    same = F.col("size").eqNullSafe(F.col("b_size")) & F.col("ext").eqNullSafe(F.col("b_ext")) & F.col("mtime").eqNullSafe(F.col("b_mtime"))
+    out = files.select("path", "size", "ext", "mtime").join(best, same, "left").drop("b_size", "b_ext", "b_mtime").join(counts, "size", "left").join(names, ["size", "ext"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    out = out.select("path", F.when(F.col("n_total").isNull(), "UNKNOWN").when(F.col("b").isNull(), "BAD").otherwise("OK").alias("status"), F.col("b")["target"].alias("best"), F.col("b")["dist"].alias("dist"), zero("n_names").alias("n_names"), zero("n_absent").alias("n_absent"), zero("n_total").alias("n_total"))
+    known = F.coalesce("n_total", F.lit(0)) > 0
+    out = out.select("path", F.when(~known, "UNKNOWN").when(F.col("b").isNull(), "BAD").otherwise("OK").alias("status"), F.col("b")["target"].alias("best"), F.col("b")["dist"].alias("dist"), zero("n_names").alias("n_names"), zero("n_absent").alias("n_absent"), zero("n_total").alias("n_total"))
     claims = out.filter("best IS NOT NULL").groupBy("best").agg(F.count(F.lit(1)).alias("claims"))
     return out.join(claims, "best", "left").select("path", "status", "best", "dist", "n_names", "n_absent", "n_total", (F.coalesce("claims", F.lit(0)) > 1).alias("conflict"))
 
