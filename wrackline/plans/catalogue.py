@@ -58,16 +58,23 @@ def match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_nearest(files, named).select("path", "status", "n_names", "n_absent", "n_total")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def _urgent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as entries, and those with an urgent order as files that are there."""
+    named = table(spark, sf_dir, "customer").select(F.lit(1).alias("size"), F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("path"), F.col("c_custkey").alias("mtime"), F.lit(0).alias("ord"), F.lit(False).alias("orphan"))
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority LIKE '1%'")
+    return named, orders.select(F.col("o_custkey").cast("string").alias("path"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def anti_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets that are not there: customers without orders."""
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Targets that are not there yet: customers without an urgent order."""
+    return match.candidates(*_urgent(spark, sf_dir)).select(F.col("target").cast("bigint").alias("c_custkey"))
 
 
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def semi_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets that are there: customers with orders."""
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
+    """Targets that are there: customers with an urgent order."""
+    return match.time_plan(*_urgent(spark, sf_dir)).select(F.col("mtime").alias("c_custkey"))
 
 
 def _tree(spark: SparkSession, sf_dir: str, lost_nation: int | None = None) -> DataFrame:
