@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from wrackline.functions import ansi, archive, dates, images, jpeg, ole, pdf
+from wrackline.functions import ansi, archive, dates, images, jpeg, ole, pdf, tables
 from wrackline.operators import repair, validate
 
 RNG = random.Random(1)
@@ -180,7 +180,7 @@ def test_verdicts_and_tables(spark):
     assert len(got) == len(files)
     for p, ext in (("a/x.png", "png"), ("a/x.gif", "gif"), ("a/x.tif", "tif"), ("a/x.zip", "docx"), ("b/x.psd", "psd"), ("b/x.jpg", "jpg"), ("b/x.pdf", "pdf"), ("b/x.wmf", "wmf")):
         assert got[p] == (0, ext, "OK"), (p, got[p])
-    assert got["c/small"] == (-1, "small", "DUNNO") and got["c/odd"] == (-1, "???", "DUNNO") and got["c/none"][2] == "DUNNO" and got["c/d.dxf"] == (-1, "???", "DUNNO")
+    assert got["c/small"] == (-1, "small", "DUNNO") and got["c/odd"] == (-1, "???", "DUNNO") and got["c/none"][2] == "DUNNO" and got["c/d.dxf"] == (10, "dxf", "BAD")
     assert got["c/bad.psd"][2] in ("ERROR", "BAD") and got["c/cut.png"][2] == "BAD"
     counts = {r.folder: (r.files, r.ok, r.bad + r.error) for r in validate.folder_counts(validate.verdicts(table)).collect()}
     assert counts["a"] == (4, 4, 0) and counts["c"][0] == 6
@@ -231,3 +231,14 @@ def test_progressive_scans_and_their_refinements():
     assert [d.dc[1][i // 6, i % 6] for i in range(24)] == [b[0] >> 1 << 1 for b in blocks]
     broken = good[:-40] + b"\xff\xd9"
     assert jpeg.decode(broken)[1][3][0] < 24
+
+
+def test_drawings_and_statistical_data():
+    good = tables.make_dxf({"HEADER": [(9, "$X"), (1, "0")], "ENTITIES": [(0, "LINE"), (8, "0")]})
+    assert tables.check_dxf(good) == 0 and tables.check_dxf(good.replace(b"\n", b"\r\n")) == 0
+    assert {tables.check_dxf(x) for x in (b"", b"0\nEOF", good[:-8], good + b"0\nEOF\n", good.replace(b"SECTION", b"SECT", 1), b"\xff" * 300)} <= {0, 10}
+    assert tables.check_dxf(good[:-8]) == 10 and tables.check_dxf(good + b"0\nLINE\n") == 10 and tables.check_dxf(good.replace(b"SECTION", b"SECT", 1)) == 10
+    whole = tables.make_sav(["A", "B"], b"label")
+    assert tables.check_sav(whole) == 0 and tables.check_sav(tables.make_sav(["A"])) == 0
+    for cut in range(0, len(whole)):
+        assert tables.check_sav(whole[:cut]) == 10

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.functions import archive, images, jpeg, ole, pdf
-from wrackline.functions.bytesql import has
+from wrackline.functions import archive, images, jpeg, ole, pdf, tables
+from wrackline.functions.bytesql import be, has
 
 LEAST = 256
 VERDICT = "errcnt int, ext string, status string"
@@ -24,13 +24,13 @@ def format_of(content: Column, name: Column) -> Column:
     rules = [
         ("small", F.octet_length(content) < LEAST),
         ("wmf", has(content, 0, images.WMF_MAGIC)),
-        ("gif", has(content, 0, b"GIF8")),
+        ("gif", has(content, 0, b"GIF87a") | has(content, 0, b"GIF89a")),
         ("png", has(content, 0, images.PNG_MAGIC)),
         ("tif", has(content, 0, images.TIFF_MAGIC[0]) | has(content, 0, images.TIFF_MAGIC[1])),
         ("zip", has(content, 0, b"PK\x03\x04")),
-        ("psd", has(content, 0, images.PSD_MAGIC)),
+        ("psd", has(content, 0, images.PSD_MAGIC + b"\0\1")),
         ("ole", has(content, 0, ole.MAGIC)),
-        ("jpg", has(content, 0, b"\xff\xd8\xff")),
+        ("jpg", has(content, 0, b"\xff\xd8\xff") & (be(content, 3, 1) >= 0xC0)),
         ("pdf", F.contains(F.decode(F.substring(content, 1, 32), "ISO-8859-1"), F.lit("%PDF-"))),
         ("dxf", F.lower(name).endswith(".dxf")),
     ]
@@ -75,6 +75,8 @@ CHECKS: dict[str, Callable[[bytes], tuple[int, str]]] = {
     "jpg": lambda d: (jpeg.check_jpeg(d), "jpg"),
     "pdf": lambda d: (pdf.check_pdf(d), "pdf"),
     "xml": lambda d: (archive.check_xml(d), "xml"),
+    "dxf": lambda d: (tables.check_dxf(d), "dxf"),
+    "sav": lambda d: (tables.check_sav(d), "sav"),  # on request only, see check_as
 }
 
 
@@ -110,7 +112,6 @@ def verdicts(files: DataFrame) -> DataFrame:
     """
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.coalesce(format_of(F.col("content"), name), F.lit("???"))
-    kind = F.when(kind == "dxf", "???").otherwise(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

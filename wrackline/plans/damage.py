@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrackline.functions import ansi, archive, codecs, images, jpeg, ntfs, ole, pdf
+from wrackline.functions import ansi, archive, codecs, images, jpeg, ntfs, ole, pdf, tables
 from wrackline.operators import catalogue, match, repair, signatures, validate
 from wrackline.operators import ntfs as records
 from wrackline.plans.blocks import _HEADS, _N
@@ -117,7 +117,7 @@ def _ole(i: int, k: int) -> bytes:
 _VARIANTS: dict[str, tuple[Callable[[int, int], bytes], list[tuple[int | None, str, str]]]] = {
     "gif": (_gif, [(0, "gif", "OK"), (20, "gif", "BAD"), (10, "gif", "BAD"), (100, "gif", "BAD"), (1, "gif", "BAD"), (100, "gif", "BAD")]),
     "tif": (_tif, [(0, "tif", "OK"), (1, "tif", "BAD"), (10, "tif", "BAD"), (10, "tif", "BAD"), (1, "tif", "BAD"), (None, "tif", "ERROR")]),
-    "psd": (_psd, [(0, "psd", "OK"), (10, "psd", "BAD"), (20, "psd", "BAD"), (1, "psd", "BAD"), (100, "psd", "BAD"), (10, "psd", "BAD")]),
+    "psd": (_psd, [(0, "psd", "OK"), (10, "psd", "BAD"), (20, "psd", "BAD"), (1, "psd", "BAD"), (-1, "???", "DUNNO"), (10, "psd", "BAD")]),
     "png": (_png, [(0, "png", "OK"), (1, "png", "BAD"), (1, "png", "BAD"), (1, "png", "BAD"), (11, "png", "BAD")]),
     "jpeg": (_jpg, [(0, "jpg", "OK"), (10, "jpg", "BAD"), (10, "jpg", "BAD"), (10, "jpg", "BAD"), (5, "jpg", "BAD"), (0, "jpg", "OK"), (1, "jpg", "BAD")]),
     "pdf": (_pdf, [(0, "pdf", "OK"), (5, "pdf", "BAD"), (10, "pdf", "BAD"), (1, "pdf", "BAD"), (1, "pdf", "BAD"), (1, "pdf", "BAD")]),
@@ -155,6 +155,29 @@ for _kind, (_, _cases) in _VARIANTS.items():
     ORACLE_SQL[f"{_kind}_damage"] = f"SELECT c_custkey AS id, {_case(_k, [e for _, e, _ in _cases])} AS ext, {_case(_k, [n for n, _, _ in _cases])}::INT AS errcnt, {_case(_k, [s for *_, s in _cases])} AS status FROM customer"
 
 
+def _dxf(i: int, k: int) -> bytes:
+    good = tables.make_dxf({"HEADER": [(9, "$ACADVER"), (1, "AC1009")], "ENTITIES": [(0, "LINE"), *[(c, str(i + c)) for c in range(10, 40)]]})
+    return good.replace(b"EOF", b"EOX") if k == 1 else good.replace(b"ENDSEC", b"END", 1) if k == 2 else b"text\n" + good if k == 3 else good
+
+
+def _sav(i: int, k: int) -> bytes:
+    good = tables.make_sav([f"V{j}" for j in range(3 + i % 5)], b"a label" if i % 2 else b"")
+    return good[:-8] if k == 1 else good[:64] + b"\x09" + good[65:] if k == 2 else good
+
+
+@query("SELECT c_custkey AS id, 'dxf' AS ext, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 10 END AS errcnt, CASE WHEN c_custkey % 4 = 0 THEN 'OK' ELSE 'BAD' END AS status FROM customer")
+def dxf_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings, told by their name, that are sound, lack their end mark, a section's end, or have a line too many."""
+    files = _files(spark, sf_dir, _dxf, 4).withColumn("path", F.concat("path", F.lit(".DXF")))
+    return validate.verdicts(files).select(F.regexp_extract("path", "[0-9]+", 0).cast("bigint").alias("id"), "ext", "errcnt", "status")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 10 END AS errcnt FROM customer")
+def sav_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistical data files, checked on request: sound, without the dictionary's end, of no known layout."""
+    return _files(spark, sf_dir, _sav, 3).select(F.col("path").cast("bigint").alias("id"), validate.check_as("sav", F.col("content")).alias("errcnt"))
+
+
 @query("SELECT 'even' AS folder, count(*) AS files, count(*) FILTER (WHERE c_custkey % 6 = 0) AS ok, count(*) FILTER (WHERE c_custkey % 6 <> 0) AS bad FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'odd', count(*), 0, count(*) FROM customer WHERE c_custkey % 2 = 1")
 def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by status in two folders."""
