@@ -72,3 +72,14 @@ def test_loss_spans_of_the_formatted_table(spark):
     parts = chat.format_conversations(table).orderBy("turn").collect()
     assert parts[0].loss_start is None
     assert chat.unescape(parts[1].part[parts[1].loss_start : parts[1].loss_end]) == "a </s> b"
+
+
+def test_whole_conversations_parse_as_one_string(spark, sf_dir):
+    by = defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        by[r.conv_id].append((r.turn is not None, r.turn or 0, chat.render_turn(r.role, r.text), r.role or "", r.text or ""))
+    got = {r.conv_id: r.formatted_chars for r in queries.op1_chat_round_trip(spark, sf_dir).collect()}
+    for conv, turns in by.items():
+        turns = [(role, text) for *_, role, text in sorted(turns)]
+        whole = chat.render(turns)
+        assert chat.parse(whole) == turns and got[conv] == len(whole)
