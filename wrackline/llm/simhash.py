@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed
+from wrackline.llm.common import checkpointed, sized
 from wrackline.llm.components import components
 from wrackline.llm.grayindex import GrayForest, bucket_links
 
@@ -142,6 +142,7 @@ def keyed(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
         hot = checkpointed(sizes.select("path", "key"))
         if hot.isEmpty():
             break
+        hot = sized(hot)  # one row stands for over HOT * bucket
         cold = rows.join(hot, ["path", "key"], "left_anti")
         done = cold if done is None else done.unionByName(cold)
         steps, fresh = [], []
