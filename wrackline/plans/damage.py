@@ -185,6 +185,31 @@ def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.folder_counts(validate.verdicts(files)).select("folder", "files", "ok", "bad")
 
 
+_GIF = _VARIANTS["gif"][1]
+
+
+@query(f"SELECT n_nationkey::BIGINT AS id, {_case('n_nationkey % 6', [n for n, _, _ in _GIF])}::INT AS errcnt, {_case('n_nationkey % 6', [s for *_, s in _GIF])} AS status FROM nation")
+def arriving_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of a stream over a folder that files were put into, up to what is there."""
+    from wrackline.operators.recover import write_files
+    from wrackline.plans.disk import _scratch
+    from wrackline.streaming import watch
+
+    @F.pandas_udf("binary")
+    def made(ids):
+        import pandas as pd
+
+        return pd.Series([_gif(int(i), int(i) % 6) for i in ids])
+
+    top = _scratch(spark)
+    keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"))
+    write_files(keys.select(F.concat(F.col("k").cast("string"), F.lit(".gif")).alias("path"), F.lit(1_600_000_000).cast("bigint").alias("mtime"), made("k").alias("content")), f"{top}/in").collect()
+    found = watch.arriving_verdicts(spark, f"file://{top}/in", per_trigger=7)
+    done = found.writeStream.format("parquet").option("path", f"file://{top}/out").option("checkpointLocation", f"file://{top}/log").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.parquet(f"file://{top}/out").select(F.regexp_extract("path", "([0-9]+)[.]gif$", 1).cast("bigint").alias("id"), "errcnt", "status")
+
+
 @query("SELECT 'copy' AS action, 'd/' || c_custkey AS source, 'bad/gif/' || c_custkey AS target FROM customer WHERE c_custkey % 6 <> 0")
 def bad_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where files with errors would be put aside."""
