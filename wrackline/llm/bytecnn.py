@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed, doc_fold
+from wrackline.llm.common import checkpointed, doc_fold, small_batches
 
 WIDTH = 6
 FILTERS = 24
@@ -189,6 +189,7 @@ def score_quality(docs: DataFrame, net: ByteCnn, threshold: float = THRESHOLD) -
     Null and empty texts get the score of an empty one.  One narrow pass; the
     network (some 40,000 numbers) goes out once per executor.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((net.tables, net.bias, net.weights, net.offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +205,7 @@ def score_quality(docs: DataFrame, net: ByteCnn, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, net: ByteCnn, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that score below the threshold, in one narrow pass."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((net.tables, net.bias, net.weights, net.offset))
     at = docs.columns.index("text")
 

@@ -9,6 +9,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Rows of at most some ten numbers up to which a side of a join is broadcast, counted first.
 BROADCAST_ROWS = 500_000
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the Arrow batches of texts to ARROW_BYTES where the session has Spark's own bound.
+
+    A worker and the buffers beside it hold a few batches at a time, so this
+    bounds what long texts cost in memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "64MB", "64m", "67108864", "67108864b"):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing ``df`` to the shared folder."""
     shared_folder(df.sparkSession)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrackline.llm.common import small_batches
+
 MAX_LEN = 2048
 END_ID = 1
 
@@ -116,6 +118,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN,
     pass, no shuffle.  ``sequence_id`` is unique in the result: bucket, task
     and running number, so a task that is run again renumbers only itself.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], dtype="<u4").tobytes()
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed, sized
+from wrackline.llm.common import checkpointed, sized, small_batches
 from wrackline.llm.components import components
 from wrackline.llm.grayindex import GrayForest, bucket_links
 
@@ -61,6 +61,7 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrackline.llm.common import checkpointed, sized
+from wrackline.llm.common import checkpointed, sized, small_batches
 from wrackline.llm.wordhash import grams, mix, words
 
 PASSAGE = 50
@@ -265,6 +265,7 @@ def repeated_passages(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFram
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     kind = dict(docs.dtypes)["doc_id"]
     ranges = f"row_key long, doc_id {kind}, start int, end int"

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrackline.llm.common import small_batches
+
 from wrackline.llm.bytecnn import fit_sample
 from wrackline.llm.wordhash import mix, stems, words
 
@@ -156,6 +158,7 @@ def score_toxicity(docs: DataFrame, fm: FactorMachine, threshold: float = THRESH
 
     Null and empty texts score as texts without known terms.  One narrow pass.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((fm.place, fm.weights, fm.factors, fm.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
