@@ -107,6 +107,23 @@ def test_a_dense_group_needs_no_tiles_and_stragglers_meet_all(spark, monkeypatch
     assert tiles == [0]
 
 
+def test_common_shingles_are_kept_apart(spark, monkeypatch):
+    rows = corpus(("appended", "block", "scattered"), (0.05, 0.15, 0.25), groups=6, seed=11)
+    rng = random.Random(12)
+    shared = prose(rng, 40)
+    rows = [(i, f"{shared} {t} {shared}" if i % 3 else t) for i, t in rows]
+    want = brute(rows)
+    monkeypatch.setattr(near_copies, "HOT_IN_BATCH", 2)
+    seen = []
+    links = near_copies.copy_links
+    monkeypatch.setattr(near_copies, "copy_links", lambda t, s, common: seen.append(len(common)) or links(t, s, common))
+    for least, most in ((10**9, 10), (10, 10**6), (2, 10**6), (2, 7)):
+        monkeypatch.setattr(near_copies, "HOT_ROWS", least)
+        monkeypatch.setattr(near_copies, "HOT_MOST", most)
+        assert components(spark, rows) == want
+    assert seen[0] == 0 and 0 < seen[1] < seen[2] and seen[3] == 7
+
+
 def test_stage_on_a_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
