@@ -78,9 +78,10 @@ def match_nearest(files: DataFrame, named: DataFrame, existing: DataFrame | None
     counts = named.select("size", F.lit(1).alias("t"), F.lit(0).alias("a")).unionAll(fit.select("size", F.lit(0), F.lit(1)))
     counts = counts.groupBy("size").agg(F.sum("t").alias("n_total"), F.sum("a").alias("n_absent"))
     names = fit.groupBy("size", "ext").agg(F.countDistinct("target").alias("n_names"))
-    spots = fit.groupBy("size", "ext", "mtime").agg(F.min_by(F.struct("target", "ord"), "ord").alias("e"))
+    spots = fit.select("size", "ext", "mtime", F.struct("target", "ord").alias("e"))
     asked = files.select("size", "ext", "mtime", F.lit(None).cast(spots.schema["e"].dataType).alias("e"))
-    times = spots.unionByName(asked).groupBy("size", "ext", "mtime").agg(F.max("e").alias("e"))
+    # An asked time has no entry and no order, which min_by passes over.
+    times = _cut(spots.unionByName(asked).groupBy("size", "ext", "mtime").agg(F.min_by("e", F.col("e")["ord"]).alias("e")))
 
     groups = times.groupBy("size", "ext").agg(F.count(F.lit(1)).alias("n"), F.min("mtime").alias("low"), F.max("mtime").alias("high")).filter(F.col("n") > window_times)
     groups = _cut(groups)  # few: each stands for as many rows
