@@ -6,7 +6,9 @@ import random
 
 from conftest import prose
 
+import corpus_pipeline
 from wrackline.llm import exact_dedup, near_copies
+from wrackline.llm.wordhash import words
 
 
 def shingles(text) -> frozenset:
@@ -146,3 +148,45 @@ def test_one_of_repeated_rows_stays_in_either_stage(spark):
         assert out.columns == docs.columns
         got = sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=str)
         assert got == sorted([(id_of_a, a), (3, b), (None, c), (4, "alone"), (None, "by itself")], key=str)
+
+
+def test_fingerprint_is_the_simhash_of_the_pairs_of_words():
+    h = words("One two, three TWO three one")[0]
+    pairs = {int(g) for g in near_copies.grams(h, 2)}
+    assert len(pairs) == 4  # "two three" counts once
+    assert near_copies.copy_fingerprint(h) == sum(1 << b for b in range(64) if 2 * sum(g >> b & 1 for g in pairs) > 4)
+    assert near_copies.copy_fingerprint(words("one")[0]) == int(near_copies.grams(words("one")[0], 1)[0])
+    assert near_copies.copy_fingerprint(words("...")[0]) == 0
+
+
+def test_stage_links_by_simhash_and_the_gray_index_first(spark, sf_dir, monkeypatch):
+    rows = corpus(("appended", "scattered"), (0.005, 0.01, 0.02), seed=21)
+    want = brute(rows)
+    searched, compared = [], []
+    links, checked = near_copies.fingerprint_links, near_copies._checked
+
+    def seen(edges, own, similarity):
+        out = near_copies.checkpointed(checked(edges, own, similarity))
+        compared.append((edges.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_copies, "fingerprint_links", lambda fps, radius: searched.append(fps.count()) or links(fps, radius))
+    monkeypatch.setattr(near_copies, "_checked", seen)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r.doc_id for r in corpus_pipeline.near(spark, docs, sf_dir).collect()}
+    assert left == {d for d, c in want.items() if d == c}
+    gone = len(rows) - len(left)
+    assert len(searched) == 1 and searched[0] > gone
+    (_, by_simhash), (others, _) = compared
+    # What SimHash linked is not compared again.
+    assert by_simhash >= 0.9 * gone > 50 and others <= gone - by_simhash
+
+
+def test_the_simhash_decides_no_link_and_loses_none(spark, monkeypatch):
+    rows = corpus(("appended", "block", "scattered"), (0.05, 0.15, 0.25), groups=6, seed=22)
+    want = brute(rows)
+    for radius in (0, 14):
+        monkeypatch.setattr(near_copies, "FP_RADIUS", radius)
+        assert components(spark, rows) == want
+    monkeypatch.setattr(near_copies, "copy_fingerprint", lambda h: 0)
+    assert components(spark, rows) == want

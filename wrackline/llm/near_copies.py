@@ -1,4 +1,9 @@
-"""Near copies: documents whose shingle sets are alike, found and decided on the whole sets."""
+"""Near copies: documents whose shingle sets are alike, found by SimHash and decided on the whole sets.
+
+Copies are taken from the Gray index over SimHashes first.  A SimHash tells a
+similarity by chance only, so links that it doesn't show are found by the rare
+shingles that sets have in common, which is exact.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +17,14 @@ from pyspark.sql import functions as F
 from wrackline.llm.common import checkpointed, keep_one, row_key, small_batches
 from wrackline.llm.components import components
 from wrackline.llm.grayindex import Sets
-from wrackline.llm.simhash import SEED, _named
+from wrackline.llm.simhash import _STEP, SEED, _named, fingerprint_links, majority
 from wrackline.llm.wordhash import grams, words
 
 COPY_SHINGLE = 5
 COPY_SIMILARITY = 0.8
+#: Words of a shingle of the SimHash, and bits in which those of candidates differ at most.  Any choice gives the same
+#: links; an edit of one word changes two shingles of two words and five of five.
+FP_SHINGLE, FP_RADIUS = 2, 6
 #: Sets of a group that are compared in one tile.
 GROUP_DOCS = 128
 #: Bits of a shingle's hash that are kept.  Two unlike shingles of a pair of documents with 1,000 words each coincide
@@ -30,9 +38,12 @@ _FLUSH = 200_000
 _COLUMNS = 1 << 12
 
 
-def copy_shingles(text: str | None) -> np.ndarray:
-    """Sorted hashes of the distinct five-word shingles, fewer words being one shingle, as is a text without words."""
-    h = words(text)[0]
+def copy_shingles(text: str | None, h: np.ndarray | None = None) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles, fewer words being one shingle, as is a text without words.
+
+    ``h`` has the hashes of the text's words where they are known.
+    """
+    h = words(text)[0] if h is None else h
     if len(h):
         return np.unique(grams(h, min(COPY_SHINGLE, len(h))) >> np.uint64(64 - GRAM_BITS))
     import xxhash
@@ -40,6 +51,12 @@ def copy_shingles(text: str | None) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), SEED) >> 64 - GRAM_BITS], np.uint64)
 
 
+def copy_fingerprint(h: np.ndarray) -> int:
+    """SimHash of the distinct shingles of FP_SHINGLE words, from the words' hashes; 0 without words."""
+    g = np.unique(grams(h, min(FP_SHINGLE, len(h)))) if len(h) else h
+    return majority(g[at : at + _STEP] for at in range(0, len(g), _STEP))
+
+
 def copy_node(shingles: np.ndarray) -> int:
     """Name of a set of shingles, of 63 bits."""
     import xxhash
@@ -156,11 +173,19 @@ def _checked(edges: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
     return both.filter(_alike(F.size(F.array_intersect("grams_u", "grams_v")), F.col("n_u"), F.col("n_v"), similarity)).select("u", "v")
 
 
-def _stars(keys: DataFrame) -> DataFrame:
-    """u, v: every node of a shingle's list with the least one."""
-    # Written first, so that the join has an exchange on either side and a common shingle's rows can be split.
-    least = checkpointed(keys.groupBy("gram").agg(F.min("node").alias("v")))
-    return keys.join(least, "gram").select(F.col("node").alias("u"), "v").filter("u <> v").distinct()
+def _fingerprint_pairs(own: DataFrame) -> DataFrame:
+    """u, v: every set of ``own`` (node, fp) with the least of those that SimHash links within FP_RADIUS connect to it under a key."""
+    # Written first, so that the join has an exchange on either side and a common fingerprint's rows can be split.
+    least = checkpointed(own.groupBy("fp").agg(F.min("node").alias("v")))
+    equal = own.select("node", "fp").join(least, "fp").select(F.col("node").alias("u"), "v").filter("u <> v")
+    return equal.unionByName(fingerprint_links(least.select("fp", F.col("v").alias("node")), FP_RADIUS)).distinct()
+
+
+def _open_lists(keys: DataFrame) -> DataFrame:
+    """gram, v, of: the least node and its cluster of every list of ``keys`` (node, cluster, gram) that has two clusters or more."""
+    least = (F.min("node").alias("v"), F.min_by("cluster", "node").alias("of"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+    # Written first, so that joins have an exchange on either side and a common shingle's rows can be split.
+    return checkpointed(keys.groupBy("gram").agg(*least).filter("low <> high").select("gram", "v", "of"))
 
 
 def _with_roots(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -193,19 +218,23 @@ def _tiles(open_nodes: DataFrame) -> DataFrame:
 def copy_links(texts: DataFrame, sizes: DataFrame, common: np.ndarray, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """Links u, v that connect all nodes whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
-    ``texts`` has the text alone, ``sizes`` node and n of each shingle set,
+    ``texts`` has the text alone, ``sizes`` node, n and fp of each shingle set,
     ``common`` shingles (sorted) that are too frequent to be counted in one
     place; they count as the most frequent ones.  No step loses a pair.
 
     * A set of n links only if ``similarity`` * n of its shingles stand in other
       sets; the rest of the sets fall away.
-    * Sets that link have one shingle in common among the n - ceil(similarity * n)
-      + 1 rarest of each (prefix filter).  Each such shingle has a list of sets.
-    * Every set of a list is compared with the least one.  What links makes
-      clusters, so a group of copies costs its size and not its square.
-    * Lists that lie in one cluster are done.  Of the others, those that hang
-      together make a group, in which sets of different clusters are compared,
-      by one task up to GROUP_DOCS sets and else in parts of that size.
+    * Sets whose SimHashes the Gray index joins within FP_RADIUS bits are compared,
+      each with the least one.  What links makes clusters.
+    * Links that SimHash doesn't show are found exactly.  Sets that link have one
+      shingle in common among the n - ceil(similarity * n) + 1 rarest of each
+      (prefix filter).  Each such shingle has a list of sets; lists that lie in one
+      cluster are done.
+    * Every set of another list is compared with the least one unless they are of
+      one cluster already, so a group of copies costs its size and not its square.
+    * Of the lists that are open still, those that hang together make a group, in
+      which sets of different clusters are compared, by one task up to GROUP_DOCS
+      sets and else in parts of that size.
     """
     sent = texts.sparkSession.sparkContext.broadcast(common)
     rows = texts.mapInArrow(lambda it: _shingle_rows(it, sent.value), "deal long, other long").repartition("deal").sortWithinPartitions("deal", "other")
@@ -216,14 +245,19 @@ def copy_links(texts: DataFrame, sizes: DataFrame, common: np.ndarray, similarit
     # Shingles of no other set are the rarest and take the first places.
     places = (F.size("own") - need + 1).cast("int")
     bare = F.transform(F.sort_array("own"), lambda k: k.bitwiseAND(F.lit((1 << GRAM_BITS) - 1)))
-    own = checkpointed(own.select("node", "n", bare.alias("grams"), places.alias("places")))
-    keys = checkpointed(own.select("node", F.explode(F.slice("grams", F.lit(1), F.col("places"))).alias("gram")))
-
-    linked = checkpointed(_checked(_stars(keys), own, similarity))
-    keys = _with_roots(keys, linked, "cluster")
-    clusters = checkpointed(keys.groupBy("gram").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low <> high").select("gram"))
-    still_open = checkpointed(keys.join(clusters, "gram", "left_semi"))
-    nodes = checkpointed(_with_roots(still_open.select("node", "cluster").distinct(), _stars(still_open), "root"))
+    own = checkpointed(own.select("node", "n", "fp", bare.alias("grams"), places.alias("places")))
+
+    linked = checkpointed(_checked(_fingerprint_pairs(own), own, similarity))
+    heads = _with_roots(own.select("node", F.slice("grams", F.lit(1), F.col("places")).alias("head")), linked, "cluster")
+    keys = checkpointed(heads.select("node", "cluster", F.explode("head").alias("gram")))
+
+    rest = checkpointed(keys.join(_open_lists(keys), "gram"))
+    stars = rest.filter("cluster <> of").select(F.col("node").alias("u"), "v").distinct()
+    linked = checkpointed(linked.unionByName(_checked(stars, own, similarity)))
+    keys = checkpointed(_with_roots(rest.select("node", "gram"), linked, "cluster"))
+    still_open = checkpointed(keys.join(_open_lists(keys), "gram"))
+    groups = still_open.select(F.col("node").alias("u"), "v").filter("u <> v").distinct()
+    nodes = checkpointed(_with_roots(still_open.select("node", "cluster").distinct(), groups, "root"))
     sets = own.select("node", "n", "grams").join(_tiles(nodes), "node").select("root", "a", "b", "node", "n", "grams")
     sets = sets.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
 
@@ -252,34 +286,39 @@ def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY) -> DataFra
     """doc_id, row_key, component_id and root, the component's own name, where links are near copies.
 
     Two documents link if the Jaccard similarity of their sets of five-word
-    shingles is at least ``similarity``, found and decided exactly.
+    shingles is at least ``similarity``: by SimHash first, the rest found by
+    shared shingles, and all decided on the sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(at, BATCH_TEXTS) for b in batches for at in range(0, b.num_rows, BATCH_TEXTS)):
-            sets = [copy_shingles(t.as_py()) for t in b.column(2)]
+            marks = []
+            for t in b.column(2):
+                h = words(t.as_py())[0]
+                marks.append((copy_shingles(t.as_py(), h), copy_fingerprint(h)))
+            sets, fp = [g for g, _ in marks], np.array([x for _, x in marks], np.uint64).view(np.int64)
             n = len(sets)
             gram, times = np.unique(np.concatenate(sets), return_counts=True) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = times >= HOT_IN_BATCH
-            arrays = [*b.columns[:2], pa.array([copy_node(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.nulls(n, pa.int64())]
+            arrays = [*b.columns[:2], pa.array([copy_node(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array(fp), pa.nulls(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
             k = int(often.sum())
             if k:
-                arrays = [pa.nulls(k, b.column(0).type), pa.nulls(k, pa.int64()), pa.array(gram[often].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(times[often].astype(np.int64))]
+                arrays = [pa.nulls(k, b.column(0).type), pa.nulls(k, pa.int64()), pa.array(gram[often].view(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(times[often].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "row_key", "node", "n", "times"]
+    names = ["doc_id", "row_key", "node", "n", "fp", "times"]
     text = F.col("text").cast("string").alias("text")
-    marked = checkpointed(docs.select("doc_id", row_key(docs).alias("row_key"), text).mapInArrow(run, f"doc_id {kind}, row_key long, node long, n long, times long"))
+    marked = checkpointed(docs.select("doc_id", row_key(docs).alias("row_key"), text).mapInArrow(run, f"doc_id {kind}, row_key long, node long, n long, fp long, times long"))
     # A row with `times` is no document but a shingle that its batch had so often.
     often = marked.filter("times IS NOT NULL").groupBy("node").agg(F.sum("times").alias("times")).filter(F.col("times") >= HOT_ROWS)
     most = often.orderBy(F.desc("times"), "node").limit(HOT_MOST).select("node").toArrow()  # 8 bytes each
     common = np.sort(most.column(0).to_numpy().astype(np.int64))
     marked = marked.filter("times IS NULL").drop("times")
-    fps = checkpointed(marked.groupBy("node", "n").agg(F.min("doc_id").alias("least_id")))
-    return _named(marked.select("doc_id", "row_key", "node"), fps, copy_links(docs.select(text), fps.select("node", "n"), common))
+    fps = checkpointed(marked.groupBy("node", "n").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")))
+    return _named(marked.select("doc_id", "row_key", "node"), fps, copy_links(docs.select(text), fps.select("node", "n", "fp"), common))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ Copies collapse to one row per fingerprint before any of this.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,15 @@ _PIECE = 8192
 _STEP = 1 << 15
 
 
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in more than half of the 64-bit hashes, which come in parts."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned fingerprint of a text; 0 where it has no words.
 
@@ -51,12 +60,8 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     a, b = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(a), _STEP):
-        part = [digest(flat[x:y], SEED) for x, y in zip(a[at : at + _STEP], b[at : at + _STEP])]
-        h = np.array(part, dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(a), bitorder="little").view("<u8")[0])
+    steps = range(0, len(a), _STEP)
+    return majority(np.array([digest(flat[x:y], SEED) for x, y in zip(a[at : at + _STEP], b[at : at + _STEP])], dtype="<u8") for at in steps)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
