@@ -58,6 +58,28 @@ def scan_health(files: DataFrame) -> DataFrame:
     return files.select("path", run("content").alias("s")).select("path", "s.*")
 
 
+def scans(files: DataFrame, columns: int = 64, color: bool = False) -> DataFrame:
+    """path, units, expected and preview: what :func:`scan_health` and :func:`previews` tell, of one decoding."""
+
+    @F.pandas_udf("units bigint, expected bigint, preview string")
+    def run(content):
+        import pandas as pd
+
+        rows = []
+        for c in content:
+            units, expected, seen = 0, 0, None
+            try:
+                d, found = jpeg.decode(c or b"")
+                units, expected = sum(a for a, _ in found), sum(max(b, 0) for _, b in found)
+                seen = jpeg.shown(d, columns, color)
+            except Exception:  # a preview is worth no failure
+                pass
+            rows.append((units, expected, seen))
+        return pd.DataFrame(rows, columns=["units", "expected", "preview"])
+
+    return files.select("path", run("content").alias("s")).select("path", "s.*")
+
+
 def rename_originals(repaired: DataFrame, suffix: str = ".damaged") -> DataFrame:
     """Plan rows that put a repaired file's original aside."""
     return repaired.filter("action = 'repaired'").select(F.lit("rename").alias("action"), F.col("path").alias("source"), F.concat("path", F.lit(suffix)).alias("target"))

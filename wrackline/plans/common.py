@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of ids for a task that makes a file or record of each: fewest and most.
+LEAST_ROWS, MOST_ROWS = 1_000, 20_000
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """``rows`` dealt out evenly, at most ``most`` to a task and fewer where that leaves cores idle.
+
+    A table of ids is one small file, which a single task would read and then
+    do all the work on; the number of tasks here grows with the rows.
+    """
+    n = rows.count()
+    even = n // (4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(max(1, -(-n // min(most, max(LEAST_ROWS, even)))))
+
+
+def made_files(ids: DataFrame, make: Callable[[int], bytes]) -> DataFrame:
+    """path and content of the file that ``make`` gives for each id, the first column, in batches of bounded size."""
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, contents, held = [], [], 0
+            for i in b.column(0).to_pylist():
+                paths.append(str(i))
+                contents.append(make(i))
+                held += len(contents[-1])
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], schema=schema)
+                    paths, contents, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], schema=schema)
+
+    return spread(ids).mapInArrow(run, "path string, content binary")
+
+
 def text_bytes(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrackline.functions import archive, codecs, images, jpeg, ole, pdf
+from wrackline.functions.memo import memo
 from wrackline.operators import repair, validate
-from wrackline.plans.common import table, text_bytes
+from wrackline.plans.common import made_files, table, text_bytes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -54,7 +55,16 @@ for _name in _TRIPS:
 # ---- checks: a file per document; every fifth is damaged in one known way --------------------------------
 
 
+#: Ids that differ by a multiple of this have the same noise.
+NOISE = 256
+
+
 def _noise(i: int, n: int) -> bytes:
+    return _noise_of(i % NOISE, n)
+
+
+@memo(4096)
+def _noise_of(i: int, n: int) -> bytes:
     return bytes((i * 7919 + j * j * 31 + (j >> 3) * i) & 255 for j in range(n))
 
 
@@ -108,13 +118,7 @@ _FORMATS: dict[str, tuple[Callable[[int, bool], bytes], int, str]] = {
 
 
 def _files(spark: SparkSession, sf_dir: str, make: Callable[[int, bool], bytes]) -> DataFrame:
-    @F.pandas_udf("binary")
-    def made(ids):
-        import pandas as pd
-
-        return pd.Series([make(int(i), i % 5 == 0) for i in ids])
-
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), made("doc_id").alias("content"))
+    return made_files(table(spark, sf_dir, "documents").select("doc_id"), lambda i: make(i, i % 5 == 0))
 
 
 def _verdict(kind: str) -> Callable[[SparkSession, str], DataFrame]:

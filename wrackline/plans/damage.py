@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrackline.functions import ansi, archive, codecs, images, jpeg, ntfs, ole, pdf, tables
+from wrackline.functions.memo import Memo
 from wrackline.operators import catalogue, match, repair, signatures, validate
 from wrackline.operators import ntfs as records
 from wrackline.plans.blocks import _HEADS, _N
 from wrackline.plans.catalogue import _made
-from wrackline.plans.common import registered, table, text_bytes
-from wrackline.plans.content import _noise, _zip
+from wrackline.plans.common import made_files, registered, table, text_bytes
+from wrackline.plans.content import NOISE, _noise, _zip
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -31,6 +32,17 @@ def _case(key: str, values: list, default: str = "NULL") -> str:
 # ---- formats: one variant of damage per id ------------------------------------------------------------
 
 
+def _cycle(period: int) -> Callable:
+    """For a maker whose bytes depend on the id modulo ``period`` only: each of them is made once."""
+
+    def wrap(make: Callable[[int, int], bytes]) -> Callable[[int, int], bytes]:
+        made = Memo(make, 8 * period)
+        return lambda i, k: made(i % period, k)
+
+    return wrap
+
+
+@_cycle(NOISE)
 def _gif(i: int, k: int) -> bytes:
     good = images.make_gif(24, 17 if k == 4 else 16, _noise(i, 384), trailer=b"\x77" if k == 1 else b";")
     if k == 2:
@@ -39,6 +51,7 @@ def _gif(i: int, k: int) -> bytes:
     return good[:at] + b"\0" + good[at + 1 :] if k == 5 else good[: at + 20] if k == 3 else good
 
 
+@_cycle(NOISE)
 def _tif(i: int, k: int) -> bytes:
     good = images.make_tiff(32, 24 + (k == 1), _noise(i, 768), (images.RAW, images.LZW, images.RAW, images.PACKBITS, images.RAW, images.DEFLATE)[k])
     after = 8 + 2 + 12 * 9
@@ -49,6 +62,7 @@ def _tif(i: int, k: int) -> bytes:
     return good[:-400] if k == 4 else good[:-60] + bytes(60) if k == 5 else good
 
 
+@_cycle(NOISE)
 def _psd(i: int, k: int) -> bytes:
     rows = [_noise(i + y, 32) for y in range(24)]
     if k == 3:
@@ -57,6 +71,7 @@ def _psd(i: int, k: int) -> bytes:
     return good + b"x" if k in (1, 5) else good[:5] + b"\2" + good[6:] if k == 4 else good
 
 
+@_cycle(NOISE)
 def _png(i: int, k: int) -> bytes:
     raw = b"".join(b"\0" + _noise(i + y, 32) for y in range(24 - (k == 3)))
     good = images.make_png(32, 24, raw)
@@ -67,6 +82,7 @@ def _png(i: int, k: int) -> bytes:
     return good[:60] + bytes([good[60] ^ 8]) + good[61:] if k == 4 else good
 
 
+@_cycle(NOISE)
 def _jpg(i: int, k: int) -> bytes:
     good = jpeg.make_jpeg(96, 64, [int(v) * 7 - 890 for v in _noise(i, 96)])
     if k == 6:  # a frame too narrow to be meant
@@ -108,6 +124,7 @@ def _wmf(i: int, k: int) -> bytes:
     return good + b"x" if k == 1 else good[:40] + b"\xff\xff" + good[42:] if k == 2 else good[:40] + bytes(4) + b"\1" + good[45:] if k == 3 else good
 
 
+@_cycle(NOISE)
 def _ole(i: int, k: int) -> bytes:
     good = ole.make_compound({("Workbook", "PowerPoint Document", "Catalog", "WordDocument", "Other")[k]: _noise(i, 300) if k else b"", "1Table": _noise(i + 1, 300)})
     return good
@@ -129,14 +146,7 @@ _VARIANTS: dict[str, tuple[Callable[[int, int], bytes], list[tuple[int | None, s
 
 def _files(spark: SparkSession, sf_dir: str, make: Callable[[int, int], bytes], variants: int) -> DataFrame:
     """A file per customer, broken in the way that its key modulo ``variants`` names."""
-
-    @F.pandas_udf("binary")
-    def made(ids):
-        import pandas as pd
-
-        return pd.Series([make(int(i), int(i) % variants) for i in ids])
-
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), made("c_custkey").alias("content"))
+    return made_files(table(spark, sf_dir, "customer").select("c_custkey"), lambda i: make(i, i % variants))
 
 
 def _damage(kind: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -247,8 +257,7 @@ def jpeg_scan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         good = _jpg(i, 0)
         return good.replace(b"\xff\xc0", b"\xff\xef") if k == 1 else good
 
-    files = _files(spark, sf_dir, make, 3)
-    seen = repair.scan_health(files).join(repair.previews(files), "path")
+    seen = repair.scans(_files(spark, sf_dir, make, 3))
     lines = F.split("preview", "\n")
     return seen.select(F.col("path").cast("bigint").alias("id"), "units", "expected", F.size(lines).alias("lines"), F.char_length(F.get(lines, 0)).alias("columns")).withColumn("lines", F.when(F.col("columns").isNotNull(), F.col("lines")))
 
