@@ -52,3 +52,17 @@ def test_memo_is_bounded_and_goes_without_what_it_keeps():
     assert [m(1, 2), m(1, 2), m(3, 4), m(5, 6), m(1, 2)] == [(1, 2), (1, 2), (3, 4), (5, 6), (1, 2)]
     assert asked == [(1, 2), (3, 4), (5, 6), (1, 2)] and len(m.kept) <= 2
     assert not cloudpickle.loads(cloudpickle.dumps(m)).kept
+
+
+def test_progressive_files_are_made_once_for_each_of_their_ids(monkeypatch):
+    made = []
+    monkeypatch.setattr(damage, "Memo", lambda f, n: lambda i, k: made.append((i, k)) or f(i, k))
+    turn = damage._cycle(10)(lambda i, k: (i, k))
+    assert [turn(3, 1), turn(13, 1)] == [(3, 1), (3, 1)] and made == [(3, 1), (3, 1)]
+
+
+def test_repeated_blocks_of_a_progressive_image():
+    blocks = [[y * 40 - 300, 5, -3, 0, 2, *[0] * 11] for y in range(24)]
+    whole = jpeg.make_progressive(48, 32, blocks)
+    d, scans = jpeg.decode(whole)
+    assert scans == [(24, 24)] * 4 and len(set(d.set_ac.values())) == 1 and d.dc[1][0, 1] == -260

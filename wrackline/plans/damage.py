@@ -266,6 +266,7 @@ def jpeg_scan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progressive_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded units of progressive images, first scans and refinements; a third has lost the last scan."""
 
+    @_cycle(601 * 7)
     def make(i: int, k: int) -> bytes:
         blocks = [[(i * 7 + y * 31) % 601 - 300, *[(0, 0, 1, -1, 2, -3, 9)[(i + y * 5 + z * z) % 7] for z in range(15)]] for y in range(24)]
         whole = jpeg.make_progressive(48, 32, blocks)
