@@ -66,3 +66,12 @@ def test_repeated_blocks_of_a_progressive_image():
     whole = jpeg.make_progressive(48, 32, blocks)
     d, scans = jpeg.decode(whole)
     assert scans == [(24, 24)] * 4 and len(set(d.set_ac.values())) == 1 and d.dc[1][0, 1] == -260
+
+
+def test_cells_of_equal_levels_are_mixed_once(monkeypatch):
+    asked = []
+    whole = ansi.cell
+    monkeypatch.setattr(ansi, "cell", lambda rgb: asked.append(rgb) or whole(rgb))
+    jpeg._cell.kept.clear()
+    seen = jpeg.preview(jpeg.make_jpeg(96, 64, [-200, 300] * 48), color=True)
+    assert seen.count("m\x1b[") == 96 and len(asked) == 2

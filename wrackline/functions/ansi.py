@@ -24,15 +24,13 @@ def rgb_of(y: float, cb: float | None = None, cr: float | None = None) -> tuple[
     return clip(light + 1.402 / 8 * cr), clip(light - 0.34414 / 8 * cb - 0.71414 / 8 * cr), clip(light + 1.772 / 8 * cb)
 
 
-def _apart(a, b) -> float:
-    return sum((x - y) ** 2 for x, y in zip(a, b))
-
-
 def mixed(rgb: tuple[float, float, float]) -> tuple[int, int, int]:
     """The two nearest palette colours and the character that comes nearest with them."""
-    back, front = sorted(range(len(PALETTE)), key=lambda i: (_apart(PALETTE[i], rgb), i))[:2]
-    blend = lambda f: [a + (b - a) * f for a, b in zip(PALETTE[back], PALETTE[front])]
-    return back, front, min(range(len(SHARES)), key=lambda i: _apart(blend(SHARES[i]), rgb))
+    r, g, b = rgb
+    apart = lambda x, y, z: sum(((x - r) ** 2, (y - g) ** 2, (z - b) ** 2))
+    (_, back), (_, front) = sorted([(apart(*c), i) for i, c in enumerate(PALETTE)])[:2]
+    pairs = list(zip(PALETTE[back], PALETTE[front]))
+    return back, front, min(range(len(SHARES)), key=lambda i: apart(*[x + (y - x) * SHARES[i] for x, y in pairs]))
 
 
 def cell(rgb: tuple[float, float, float]) -> str:
