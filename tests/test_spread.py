@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
-from wrackline.functions import ansi, jpeg
+from wrackline.functions import ansi, codecs, jpeg, ole, pdf
 from wrackline.functions.memo import Memo
-from wrackline.plans import damage
+from wrackline.operators import validate
+from wrackline.plans import content, damage
 
 
 @pytest.fixture(scope="module")
@@ -54,11 +56,10 @@ def test_memo_is_bounded_and_goes_without_what_it_keeps():
     assert not cloudpickle.loads(cloudpickle.dumps(m)).kept
 
 
-def test_progressive_files_are_made_once_for_each_of_their_ids(monkeypatch):
+def test_files_of_equal_bytes_are_made_once():
     made = []
-    monkeypatch.setattr(damage, "Memo", lambda f, n: lambda i, k: made.append((i, k)) or f(i, k))
-    turn = damage._cycle(10)(lambda i, k: (i, k))
-    assert [turn(3, 1), turn(13, 1)] == [(3, 1), (3, 1)] and made == [(3, 1), (3, 1)]
+    turn = damage._cycle(10)(lambda i, k: made.append((i, k)) or b"%d %d" % (i, k))
+    assert [turn(3, 1), turn(13, 1), turn(3, 2)] == [b"3 1", b"3 1", b"3 2"] and made == [(3, 1), (3, 2)]
 
 
 def test_repeated_blocks_of_a_progressive_image():
@@ -75,3 +76,23 @@ def test_cells_of_equal_levels_are_mixed_once(monkeypatch):
     jpeg._cell.kept.clear()
     seen = jpeg.preview(jpeg.make_jpeg(96, 64, [-200, 300] * 48), color=True)
     assert seen.count("m\x1b[") == 96 and len(asked) == 2
+
+
+class Held:
+    """In place of a table: keeps what is to run over its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, ddl):  # noqa: N802
+        self.run = run
+        return self
+
+
+def test_inner_rows_of_many_files_come_in_one_batch():
+    found = Held()
+    validate.inner(found, "ole_streams")
+    files = [ole.make_compound({"Workbook": bytes([i]) * 5000}) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(20)]), pa.array(files, pa.binary())], names=["path", "content"])
+    out = list(found.run(iter([batch])))
+    assert len(out) == 1 and out[0].column("content").to_pylist() == [bytes([i]) * 5000 for i in range(20)]
