@@ -96,3 +96,13 @@ def test_inner_rows_of_many_files_come_in_one_batch():
     batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(20)]), pa.array(files, pa.binary())], names=["path", "content"])
     out = list(found.run(iter([batch])))
     assert len(out) == 1 and out[0].column("content").to_pylist() == [bytes([i]) * 5000 for i in range(20)]
+
+
+def test_empty_records_of_a_workbook_are_passed_at_once(monkeypatch):
+    looks = []
+    monkeypatch.setattr(ole, "u", lambda d, at, n: looks.append(at) or int.from_bytes(d[at : at + n], "little"))
+    sheet = b"\x85\0\x0b\0" + bytes([9, 0, 0, 0, 0, 2, 3, 0]) + b"abc"
+    for zeros in (0, 3, 4, 5, 400, 4000):
+        found, _ = ole.workbook_sheets(bytes(zeros // 4 * 4) + sheet + bytes(zeros) + sheet[: 4 if zeros % 4 else 99])
+        assert [r["name"] for r in found] == ["abc"] * (1 if zeros % 4 else 2)
+    assert len(looks) < 100
