@@ -106,3 +106,8 @@ def test_empty_records_of_a_workbook_are_passed_at_once(monkeypatch):
         found, _ = ole.workbook_sheets(bytes(zeros // 4 * 4) + sheet + bytes(zeros) + sheet[: 4 if zeros % 4 else 99])
         assert [r["name"] for r in found] == ["abc"] * (1 if zeros % 4 else 2)
     assert len(looks) < 100
+
+
+def test_noise_is_made_once_for_each_of_its_ids():
+    assert content._noise(5, 3000) is content._noise(5 + content.NOISE, 3000)
+    assert content._noise(261, 40) == bytes((261 * 7919 + j * j * 31 + (j >> 3) * 261) & 255 for j in range(40))
