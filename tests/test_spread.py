@@ -111,3 +111,15 @@ def test_empty_records_of_a_workbook_are_passed_at_once(monkeypatch):
 def test_noise_is_made_once_for_each_of_its_ids():
     assert content._noise(5, 3000) is content._noise(5 + content.NOISE, 3000)
     assert content._noise(261, 40) == bytes((261 * 7919 + j * j * 31 + (j >> 3) * 261) & 255 for j in range(40))
+
+
+def test_plain_pdf_tokens_are_read_at_once(monkeypatch):
+    skips = []
+    whole = pdf.Tokens._skip
+    monkeypatch.setattr(pdf.Tokens, "_skip", lambda self: skips.append(self.at) or whole(self))
+    data = b" 12 -3 +4 1.5 /Name/Next obj%c\n(a)<41>5"
+    reader, seen = pdf.Tokens(data, 0, len(data)), []
+    while (t := reader.next()) is not None:
+        seen.append(t)
+    assert seen == [12, -3, 4, b"1.5", b"/Name", b"/Next", b"obj", b"a", b"A", 5]
+    assert [type(t) for t in seen[-3:]] == [pdf.Text, pdf.Text, int] and len(skips) == 3
