@@ -123,3 +123,7 @@ def test_plain_pdf_tokens_are_read_at_once(monkeypatch):
         seen.append(t)
     assert seen == [12, -3, 4, b"1.5", b"/Name", b"/Next", b"obj", b"a", b"A", 5]
     assert [type(t) for t in seen[-3:]] == [pdf.Text, pdf.Text, int] and len(skips) == 3
+
+
+def test_png_files_of_equal_noise_are_made_once():
+    assert damage._png(7, 4) is damage._png(7 + 5 * content.NOISE, 4) and damage._png(7, 4) != damage._png(7, 0)
