@@ -127,3 +127,7 @@ def test_plain_pdf_tokens_are_read_at_once(monkeypatch):
 
 def test_png_files_of_equal_noise_are_made_once():
     assert damage._png(7, 4) is damage._png(7 + 5 * content.NOISE, 4) and damage._png(7, 4) != damage._png(7, 0)
+
+
+def test_png_chunks_of_a_small_table_go_to_several_tasks(spark, customers):
+    assert damage.png_chunks(spark, customers).rdd.getNumPartitions() >= 4
