@@ -131,3 +131,7 @@ def test_png_files_of_equal_noise_are_made_once():
 
 def test_png_chunks_of_a_small_table_go_to_several_tasks(spark, customers):
     assert damage.png_chunks(spark, customers).rdd.getNumPartitions() >= 4
+
+
+def test_pdf_files_of_customers_go_to_several_tasks(spark, customers):
+    assert damage.QUERIES["pdf_damage"](spark, customers).rdd.getNumPartitions() >= 4
