@@ -135,3 +135,12 @@ def test_png_chunks_of_a_small_table_go_to_several_tasks(spark, customers):
 
 def test_pdf_files_of_customers_go_to_several_tasks(spark, customers):
     assert damage.QUERIES["pdf_damage"](spark, customers).rdd.getNumPartitions() >= 4
+
+
+def test_tables_of_a_compound_file_are_read_at_once(monkeypatch):
+    looks = []
+    monkeypatch.setattr(ole, "u", lambda d, at, n: looks.append(at) or int.from_bytes(d[at : at + n], "little"))
+    data = ole.make_compound({"Workbook": b"x" * 70_000, "Other": b"y" * 5_000})
+    assert validate.check_ole(data) == (0, "xls") and len(looks) < 50
+    with pytest.raises(ole.OleError):
+        ole.CompoundFile(data[:600])
