@@ -144,3 +144,8 @@ def test_tables_of_a_compound_file_are_read_at_once(monkeypatch):
     assert validate.check_ole(data) == (0, "xls") and len(looks) < 50
     with pytest.raises(ole.OleError):
         ole.CompoundFile(data[:600])
+
+
+def test_thumbnail_repair_makes_each_file_once(spark, customers):
+    shown = plan(damage.jpeg_thumbnail_repair(spark, customers))
+    assert "Join" not in shown and shown.count("MapInArrow") == 1

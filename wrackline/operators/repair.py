@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from wrackline.functions import jpeg
 
 
-def repaired_jpegs(files: DataFrame) -> DataFrame:
-    """path, action, start, eoi, repaired of JPEG files that may have lost their beginning."""
+def repaired_jpegs(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, action, start, eoi, repaired of JPEG files that may have lost their beginning, and the columns of ``keep``."""
 
     @F.pandas_udf("action string, start bigint, eoi bigint, repaired binary")
     def run(content):
@@ -18,7 +18,7 @@ def repaired_jpegs(files: DataFrame) -> DataFrame:
         rows = [jpeg.repair_jpeg(c or b"") for c in content]
         return pd.DataFrame(rows, columns=["action", "start", "eoi", "repaired"]).astype({"start": "Int64", "eoi": "Int64"})
 
-    return files.select("path", run("content").alias("r")).select("path", "r.*")
+    return files.select("path", *keep, run("content").alias("r")).select("path", *keep, "r.*")
 
 
 def previews(files: DataFrame, columns: int = 64, color: bool = False) -> DataFrame:

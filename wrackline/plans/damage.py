@@ -244,8 +244,7 @@ def jpeg_thumbnail_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return pd.Series([None if w is None else w == _jpg(int(p), 0) for p, w in zip(path, whole)], dtype="boolean")
 
-    files = _files(spark, sf_dir, make, 4)
-    fixed = repair.repaired_jpegs(files).join(files.select("path", "content"), "path")
+    fixed = repair.repaired_jpegs(_files(spark, sf_dir, make, 4), ("content",))
     return fixed.select(F.col("path").cast("bigint").alias("id"), "action", same("path", F.when(F.col("action") == "intact", F.col("content")).otherwise(F.col("repaired"))).alias("same"))
 
 
