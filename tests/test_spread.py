@@ -149,3 +149,8 @@ def test_tables_of_a_compound_file_are_read_at_once(monkeypatch):
 def test_thumbnail_repair_makes_each_file_once(spark, customers):
     shown = plan(damage.jpeg_thumbnail_repair(spark, customers))
     assert "Join" not in shown and shown.count("MapInArrow") == 1
+
+
+def test_document_times_are_asked_once(spark, customers):
+    shown = damage.document_time_plan(spark, customers)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in shown and shown.count("ArrowEvalPython") == 1

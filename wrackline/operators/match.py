@@ -145,10 +145,13 @@ def file_facts(recovered: DataFrame) -> DataFrame:
 
     Only files that start like an archive or a compound file are looked into.
     """
-    from wrackline.functions.dates import document_time
-
     ext = extension(F.element_at(F.split("path", "/"), -1))
-    magic = F.hex(F.substring("content", 1, 4))
+    return recovered.select("path", "size", F.coalesce(_inside(F.col("content")), F.col("mtime")).alias("mtime"), ext.alias("ext"))
+
+
+def _inside(content: Column) -> Column:
+    """The time that an office document carries."""
+    from wrackline.functions.dates import document_time
 
     @F.pandas_udf("bigint")
     def inside(content):
@@ -156,11 +159,12 @@ def file_facts(recovered: DataFrame) -> DataFrame:
 
         return pd.Series([document_time(c) if c is not None else None for c in content], dtype="Int64")
 
-    office = F.when(magic.isin("504B0304", "D0CF11E0"), F.col("content"))
-    return recovered.select("path", "size", F.coalesce(inside(office), F.col("mtime")).alias("mtime"), ext.alias("ext"))
+    # A filter on the time must not ask for it a second time.
+    return inside.asNondeterministic()(F.when(F.hex(F.substring(content, 1, 4)).isin("504B0304", "D0CF11E0"), content))
 
 
 def document_time_plan(recovered: DataFrame) -> DataFrame:
     """action, path, mtime for archives of office documents, from the dates that they carry."""
-    facts = file_facts(recovered.filter(F.hex(F.substring("content", 1, 4)) == "504B0304")).select("path", F.col("mtime").alias("own"))
-    return facts.join(recovered.select("path", "mtime"), "path").filter("own <> mtime").select(F.lit("set_mtime").alias("action"), "path", F.col("own").alias("mtime"))
+    zips = recovered.filter(F.hex(F.substring("content", 1, 4)) == "504B0304")
+    own = zips.select("path", "mtime", _inside(F.col("content")).alias("own")).filter("own <> mtime")
+    return own.select(F.lit("set_mtime").alias("action"), "path", F.col("own").alias("mtime"))
