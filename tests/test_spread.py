@@ -154,3 +154,10 @@ def test_thumbnail_repair_makes_each_file_once(spark, customers):
 def test_document_times_are_asked_once(spark, customers):
     shown = damage.document_time_plan(spark, customers)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in shown and shown.count("ArrowEvalPython") == 1
+
+
+def test_gif_codes_that_grow_past_twelve_bits():
+    pixels = bytes((j * j * 31 + (j >> 5)) & 255 for j in range(9_000))
+    packed = codecs.gif_lzw_encode(pixels, 8)
+    assert codecs.gif_lzw_decode(packed, 8) == pixels and codecs.gif_lzw_decode(packed[:-700], 8) == pixels[: len(codecs.gif_lzw_decode(packed[:-700], 8))]
+    assert damage._gif(3, 0) is damage._gif(3 + content.NOISE, 0)
