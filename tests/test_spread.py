@@ -161,3 +161,7 @@ def test_gif_codes_that_grow_past_twelve_bits():
     packed = codecs.gif_lzw_encode(pixels, 8)
     assert codecs.gif_lzw_decode(packed, 8) == pixels and codecs.gif_lzw_decode(packed[:-700], 8) == pixels[: len(codecs.gif_lzw_decode(packed[:-700], 8))]
     assert damage._gif(3, 0) is damage._gif(3 + content.NOISE, 0)
+
+
+def test_gif_files_of_customers_go_to_several_tasks(spark, customers):
+    assert damage.QUERIES["gif_damage"](spark, customers).rdd.getNumPartitions() >= 4
