@@ -165,3 +165,8 @@ def test_gif_codes_that_grow_past_twelve_bits():
 
 def test_gif_files_of_customers_go_to_several_tasks(spark, customers):
     assert damage.QUERIES["gif_damage"](spark, customers).rdd.getNumPartitions() >= 4
+
+
+def test_folder_counts_make_files_in_several_tasks(spark, customers):
+    shown = plan(damage.folder_counts(spark, customers))
+    assert "Repartition" in shown and {(r.folder, r.files, r.ok) for r in damage.folder_counts(spark, customers).collect()} == {("even", 2500, 833), ("odd", 2500, 0)}
