@@ -170,3 +170,64 @@ def test_gif_files_of_customers_go_to_several_tasks(spark, customers):
 def test_folder_counts_make_files_in_several_tasks(spark, customers):
     shown = plan(damage.folder_counts(spark, customers))
     assert "Repartition" in shown and {(r.folder, r.files, r.ok) for r in damage.folder_counts(spark, customers).collect()} == {("even", 2500, 833), ("odd", 2500, 0)}
+
+
+def test_text_batches_are_bounded_in_bytes():
+    from wrackline.plans import common
+
+    texts = [b"some words %d " % i * 30_000 for i in range(40)]
+    found = TextTable()
+    common.turned(found, lambda i, d: (d,), "d binary")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    out = list(found.run(iter([batch])))
+    assert [v for b in out for v in b.column("d").to_pylist()] == texts
+    assert len(out) >= 4 and max(b.nbytes for b in out) < 6 << 20
+
+
+def test_lznt1_is_packed_as_by_single_steps():
+    def slow(part: bytes) -> bytes:
+        packed, at = bytearray(), 0
+        while at < len(part):
+            mark = len(packed)
+            packed.append(0)
+            for bit in range(8):
+                if at >= len(part):
+                    break
+                width = max(4, (at - 1).bit_length()) if at else 4
+                spot, n = part.rfind(part[at : at + 3], 0, at + 2) if at + 3 <= len(part) else -1, 0
+                while spot >= 0 and n < (0xFFFF >> width) + 3 and at + n < len(part) and part[spot + n] == part[at + n]:
+                    n += 1
+                if n >= 3:
+                    packed[mark] |= 1 << bit
+                    packed += ((at - spot - 1) << (16 - width) | (n - 3)).to_bytes(2, "little")
+                else:
+                    packed.append(part[at])
+                at += max(1, n if n >= 3 else 1)
+        body = bytes(packed) if len(packed) < len(part) else part
+        return ((len(body) - 1) | (0xB000 if len(packed) < len(part) else 0x3000)).to_bytes(2, "little") + body
+
+    noise = content._noise(3, 5000)
+    for data in (b"", b"a", b"aaa", b"abcabcabc", b"a" * 9000, b"ab" * 3000 + b"c", noise, noise[:100] * 60, b"the same line again and again\n" * 300, b"x" * (1 << 18) + b"y" * 5000):
+        assert codecs.lznt1_compress(data) == b"".join(slow(data[i : i + 4096]) for i in range(0, len(data), 4096))
+        assert codecs.lznt1_decompress(codecs.lznt1_compress(data)) == data
+
+
+class TextTable:
+    """In place of the table of documents, see ``Held``."""
+
+    def __init__(self) -> None:
+        self.sparkSession = self.sparkContext = self.conf = self.rdd = self
+        self.defaultParallelism = 1
+
+    def get(self, *key):
+        return "1"
+
+    def getNumPartitions(self):  # noqa: N802
+        return 1
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, ddl):  # noqa: N802
+        self.run = run
+        return self

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wrackline.functions import archive, codecs, images, jpeg, ole, pdf
 from wrackline.functions.memo import memo
 from wrackline.operators import repair, validate
-from wrackline.plans.common import made_files, table, text_bytes
+from wrackline.plans.common import made_files, table, text_bytes, turned
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -34,13 +34,7 @@ def _trip(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         turn = _TRIPS[name]
 
-        @F.pandas_udf("binary")
-        def trip(data):
-            import pandas as pd
-
-            return pd.Series([turn(bytes(d)) for d in data])
-
-        docs = table(spark, sf_dir, "documents").select("doc_id", trip(text_bytes(F.col("text"))).alias("d"))
+        docs = turned(table(spark, sf_dir, "documents"), lambda i, d: (turn(d),), "d binary")
         return docs.select("doc_id", F.octet_length("d").cast("bigint").alias("n_bytes"), F.md5("d").alias("digest"))
 
     run.__name__, run.__doc__ = f"{name}_roundtrip", f"Every text through {name} and back."
