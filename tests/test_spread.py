@@ -231,3 +231,16 @@ class TextTable:
     def mapInArrow(self, run, ddl):  # noqa: N802
         self.run = run
         return self
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory) -> str:
+    """Documents in one small file."""
+    folder = str(tmp_path_factory.mktemp("documents"))
+    spark.range(1, 61).selectExpr("id AS doc_id", "repeat(concat('text ', id, ' '), 40) AS text", "'en' AS lang").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_units_of_a_small_table_are_walked_by_several_tasks(spark, documents):
+    found = damage.unit_walk(spark, documents)
+    assert found.rdd.getNumPartitions() >= 8 and found.filter("zeros AND used_of_broken = -1").count() == 60

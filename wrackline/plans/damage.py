@@ -14,7 +14,7 @@ from wrackline.operators import catalogue, match, repair, signatures, validate
 from wrackline.operators import ntfs as records
 from wrackline.plans.blocks import _HEADS, _N
 from wrackline.plans.catalogue import _made
-from wrackline.plans.common import made_files, registered, table, text_bytes
+from wrackline.plans.common import made_files, registered, table, text_bytes, turned
 from wrackline.plans.content import NOISE, _noise, _zip
 
 QUERIES: dict = {}
@@ -538,69 +538,51 @@ def boot_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as compressed units put together from runs: whole, with clusters missing after the end, and with the pad missing."""
 
-    @F.pandas_udf("content binary, error string")
-    def run(ids, data):
-        import pandas as pd
-
-        rows = []
-        for i, d in zip(ids, data):
-            parts: list[tuple[bytes | None, int]] = []
-            for at in range(0, len(d), codecs.UNIT):
-                packed = codecs.lznt1_compress(d[at : at + codecs.UNIT])
-                n = -(-len(packed) // codecs.CLUSTER) * codecs.CLUSTER
-                parts += [(packed.ljust(n, b"\0"), n), (None, codecs.UNIT - n)] if n < codecs.UNIT else [(d[at : at + codecs.UNIT].ljust(codecs.UNIT, b"\0"), codecs.UNIT)]
-            size = len(d)
-            if i % 3 == 2 and parts and parts[-1][0] is None:
-                parts.pop()
-            whole, wrong = codecs.reassemble(parts, size + (len(parts) * codecs.UNIT if i % 3 == 1 else 0), codecs.UNIT)
-            rows.append((whole[:size], wrong))
-        return pd.DataFrame(rows, columns=["content", "error"])
+    def run(i: int, d: bytes) -> tuple[bytes, str | None]:
+        parts: list[tuple[bytes | None, int]] = []
+        for at in range(0, len(d), codecs.UNIT):
+            packed = codecs.lznt1_compress(d[at : at + codecs.UNIT])
+            n = -(-len(packed) // codecs.CLUSTER) * codecs.CLUSTER
+            parts += [(packed.ljust(n, b"\0"), n), (None, codecs.UNIT - n)] if n < codecs.UNIT else [(d[at : at + codecs.UNIT].ljust(codecs.UNIT, b"\0"), codecs.UNIT)]
+        size = len(d)
+        if i % 3 == 2 and parts and parts[-1][0] is None:
+            parts.pop()
+        whole, wrong = codecs.reassemble(parts, size + (len(parts) * codecs.UNIT if i % 3 == 1 else 0), codecs.UNIT)
+        return whole[:size], wrong
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", run("doc_id", text_bytes(F.col("text"))).alias("r"))
-    return docs.select("doc_id", F.octet_length("r.content").cast("bigint").alias("n_bytes"), F.md5("r.content").alias("digest"), "r.error")
+    docs = turned(table(spark, sf_dir, "documents"), run, "content binary, error string")
+    return docs.select("doc_id", F.octet_length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("digest"), "error")
 
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS digest, -1 AS used_of_broken, true AS zeros FROM documents WHERE octet_length(encode(coalesce(text, ''))) BETWEEN 1 AND 65536")
 def unit_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units one after another, zeros between them, and a unit without a chunk's signature."""
 
-    @F.pandas_udf("content binary, used int, zeros boolean")
-    def run(data):
-        import pandas as pd
+    def run(i: int, d: bytes) -> tuple[bytes, int, bool]:
+        packed = codecs.lznt1_compress(d)
+        padded = packed.ljust(-(-len(packed) // codecs.CLUSTER) * codecs.CLUSTER, b"\0")
+        whole = codecs.walk_units(bytes(codecs.UNIT) + padded)
+        return whole[codecs.UNIT : codecs.UNIT + len(d)], codecs.lznt1_unit(b"\x01\x80" + d)[1], not any(whole[: codecs.UNIT])
 
-        rows = []
-        for d in data:
-            packed = codecs.lznt1_compress(d)
-            padded = packed.ljust(-(-len(packed) // codecs.CLUSTER) * codecs.CLUSTER, b"\0")
-            whole = codecs.walk_units(bytes(codecs.UNIT) + padded)
-            rows.append((whole[codecs.UNIT : codecs.UNIT + len(d)], codecs.lznt1_unit(b"\x01\x80" + d)[1], not any(whole[: codecs.UNIT])))
-        return pd.DataFrame(rows, columns=["content", "used", "zeros"])
-
-    b = text_bytes(F.col("text"))
-    docs = table(spark, sf_dir, "documents").filter(F.octet_length(b).between(1, 65536)).select("doc_id", run(b).alias("r"))
-    return docs.select("doc_id", F.md5("r.content").alias("digest"), F.col("r.used").alias("used_of_broken"), "r.zeros")
+    docs = table(spark, sf_dir, "documents").filter(F.octet_length(text_bytes(F.col("text"))).between(1, 65536))
+    return turned(docs, run, "content binary, used int, zeros boolean").select("doc_id", F.md5("content").alias("digest"), F.col("used").alias("used_of_broken"), "zeros")
 
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
 def filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through chains of document filters, one of four by id."""
 
-    @F.pandas_udf("binary")
-    def run(ids, data):
-        import pandas as pd
-
-        def one(k: int, d: bytes) -> bytes:
-            if k == 0:
-                return codecs.apply_filters(codecs.ascii85_encode(zlib.compress(d)), [b"/ASCII85Decode", b"/FlateDecode"])
-            if k == 1:
-                return codecs.apply_filters(zlib.compress(d).hex().encode() + b">", [b"/ASCIIHexDecode", b"/FlateDecode", b"/DCTDecode"])
-            if k == 2:
-                return codecs.apply_filters(codecs.lzw_encode(zlib.compress(d)), [b"/LZWDecode", b"/FlateDecode"])
-            return codecs.apply_filters(codecs.ascii85_encode(d), [b"/A85", b"/Unknown"])
-
-        return pd.Series([one(int(i) % 4, bytes(d)) for i, d in zip(ids, data)])
-
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(run("doc_id", text_bytes(F.col("text")))).alias("digest"))
+    def run(i: int, d: bytes) -> tuple[bytes]:
+        k = i % 4
+        if k == 0:
+            return (codecs.apply_filters(codecs.ascii85_encode(zlib.compress(d)), [b"/ASCII85Decode", b"/FlateDecode"]),)
+        if k == 1:
+            return (codecs.apply_filters(zlib.compress(d).hex().encode() + b">", [b"/ASCIIHexDecode", b"/FlateDecode", b"/DCTDecode"]),)
+        if k == 2:
+            return (codecs.apply_filters(codecs.lzw_encode(zlib.compress(d)), [b"/LZWDecode", b"/FlateDecode"]),)
+        return (codecs.apply_filters(codecs.ascii85_encode(d), [b"/A85", b"/Unknown"]),)
+
+    return turned(table(spark, sf_dir, "documents"), run, "content binary").select("doc_id", F.md5("content").alias("digest"))
 
 
 # ---- times, names and plans ------------------------------------------------------------------------------------------------
