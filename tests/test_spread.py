@@ -244,3 +244,8 @@ def documents(spark, tmp_path_factory) -> str:
 def test_units_of_a_small_table_are_walked_by_several_tasks(spark, documents):
     found = damage.unit_walk(spark, documents)
     assert found.rdd.getNumPartitions() >= 8 and found.filter("zeros AND used_of_broken = -1").count() == 60
+
+
+def test_units_of_a_small_table_are_put_together_by_several_tasks(spark, documents):
+    found = damage.unit_reassembly(spark, documents)
+    assert found.rdd.getNumPartitions() >= 8 and {r.error for r in found.collect()} == {None, "not enough data", "missing pad"}
