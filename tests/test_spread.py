@@ -249,3 +249,19 @@ def test_units_of_a_small_table_are_walked_by_several_tasks(spark, documents):
 def test_units_of_a_small_table_are_put_together_by_several_tasks(spark, documents):
     found = damage.unit_reassembly(spark, documents)
     assert found.rdd.getNumPartitions() >= 8 and {r.error for r in found.collect()} == {None, "not enough data", "missing pad"}
+
+
+def test_lzw_codes_of_all_widths():
+    data = bytes((j * j * 31 + (j >> 5)) & 255 for j in range(9_000)) + b"ab" * 4_000
+    packed = codecs.lzw_encode(data)
+    assert codecs.lzw_decode(packed) == data and codecs.lzw_decode(codecs.lzw_encode(b"")) == b""
+    with pytest.raises(codecs.CodecError):
+        codecs.lzw_decode(packed + bytes(4))
+    with pytest.raises(codecs.CodecError):
+        codecs.lzw_decode(packed[:-3])
+
+
+def test_lzw_texts_of_a_small_table_go_to_several_tasks(spark, documents):
+    from wrackline.plans import content as queries
+
+    assert queries.QUERIES["lzw_msb_roundtrip"](spark, documents).rdd.getNumPartitions() >= 8
