@@ -265,3 +265,17 @@ def test_lzw_texts_of_a_small_table_go_to_several_tasks(spark, documents):
     from wrackline.plans import content as queries
 
     assert queries.QUERIES["lzw_msb_roundtrip"](spark, documents).rdd.getNumPartitions() >= 8
+
+
+def test_contents_are_restored_in_batches(tmp_path):
+    from wrackline.operators import recover
+
+    image = tmp_path / "image"
+    image.write_bytes(b"".join(bytes([65 + i]) * 4096 for i in range(20)))
+    found = TextTable()
+    found.columns = ["path"]
+    recover.restored(found, str(image))
+    run = [{"lcn": i, "len": 1, "sparse": False} for i in range(20)]
+    batch = pa.RecordBatch.from_pylist([{"path": str(i), "size": 4000, "mtime": 1, "runs": [run[i]], "compression": 0} for i in range(20)])
+    out = list(found.run(iter([batch])))
+    assert len(out) == 1 and out[0].column("content").to_pylist() == [bytes([65 + i]) * 4000 for i in range(20)]

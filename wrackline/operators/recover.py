@@ -13,6 +13,8 @@ from wrackline.functions.ntfs import CLUSTER
 
 #: Compression exponent of a record to its unit in bytes.
 MAX_EXPONENT = 8
+#: Contents are handed on once they have so many bytes together.
+BATCH_BYTES = 4 << 20
 
 
 def read_runs(f, runs: list[dict], size: int, cluster: int, part_start: int, unit: int) -> tuple[bytes, str | None]:
@@ -53,12 +55,19 @@ def restored(files: DataFrame, image: str, cluster: int = CLUSTER, part_start: i
         from wrackline.sources.rawblocks import open_image
 
         f, _ = open_image(image)
+        out, held = [], 0
         with f:
             for b in batches:
                 for r in b.to_pylist():
                     unit = cluster << min(r["compression"] or 0, MAX_EXPONENT) if r["compression"] else 0
                     data, wrong = read_runs(f, r["runs"] or [], r["size"] or 0, cluster, part_start, unit)
-                    yield pa.RecordBatch.from_pylist([{"path": r["path"], "size": r["size"], "mtime": r["mtime"], "content": data, "error": wrong}], schema=schema)
+                    out.append({"path": r["path"], "size": r["size"], "mtime": r["mtime"], "content": data, "error": wrong})
+                    held += 100 + len(data)
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     compression = F.col("compression") if "compression" in files.columns else F.lit(0)
     rows = files.select("path", "size", "mtime", "runs", compression.alias("compression"))

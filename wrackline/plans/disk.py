@@ -19,7 +19,7 @@ from wrackline.operators import blockstats, catalogue, recover, signatures
 from wrackline.operators import ntfs as records
 from wrackline.operators.catalogue import _cut, shared_folder
 from wrackline.plans.blocks import _CASE, _HEADS, _N
-from wrackline.plans.common import registered, table, text_bytes
+from wrackline.plans.common import dealt, registered, small_batches, table, text_bytes
 from wrackline.sources import files as tables
 from wrackline.sources.rawblocks import blocks
 
@@ -46,14 +46,15 @@ def _scratch(spark: SparkSession) -> str:
 
 def _written(rows: DataFrame, path: str, size: int, make: Callable[[dict], list[tuple[int, bytes]]]) -> None:
     """Write (offset, bytes) of every row into a file of ``size`` bytes."""
+    small_batches(rows.sparkSession)
     with open(path, "wb") as f:
         f.truncate(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             with open(path, "r+b") as f:
-                for r in b.to_pylist():
-                    for at, data in make(r):
+                for values in zip(*b.columns):
+                    for at, data in make({k: v.as_py() for k, v in zip(b.schema.names, values)}):
                         f.seek(at)
                         f.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
@@ -150,7 +151,7 @@ def _disk(spark: SparkSession, sf_dir: str) -> str:
     mft = max(128, -(-(8 + 3 * count) // 4))
     index_at, data_at = (MFT_AT + mft) * C, MFT_AT + mft + count
     path = _scratch(spark)
-    rows = docs.join(layout.withColumn("start", F.col("start") + data_at), "doc_id")
+    rows = dealt(docs).join(layout.withColumn("start", F.col("start") + data_at), "doc_id")
     _written(rows, path, (data_at + clusters) * C, lambda r: _document(r, index_at))
     folder = lambda ref, text: ntfs.make_record(ref, [ntfs.resident(ntfs.NAME, _name(ROOT, text, 0, T0, ntfs.DIRECTORY_KEY))], 3)
     master = ntfs.make_record(0, [ntfs.resident(ntfs.NAME, _name(ROOT, "$MFT", 0, T0)), _piece([(MFT_AT, mft)], mft * C)])
@@ -169,6 +170,7 @@ def disk_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image to records, paths, runs over several records, and files: every document comes back from its clusters."""
     path = _disk(spark, sf_dir)
     found, index = records.scan_image(spark, path)
+    found = _cut(found)  # read twice below
     dirs = catalogue.paths(catalogue.directories(found, index))
     own = catalogue.with_extensions(found).filter(records.in_use(F.col("flags")) & ~records.is_directory(F.col("flags")) & F.col("name").startswith("doc-"))
     out = recover.restored(catalogue.with_paths(own, dirs), path)
@@ -216,6 +218,7 @@ def disk_tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dry run of copying each folder's tree."""
     path = _disk(spark, sf_dir)
     found, index = records.scan_image(spark, path)
+    found = _cut(found)  # read twice below
     plain = catalogue.recoverable(found).filter("name LIKE 'doc-%'")
     named = catalogue.with_paths(plain, catalogue.paths(catalogue.directories(found, index)))
     return _answer(recover.tree_totals(recover.restored(named, path)), path)
@@ -228,6 +231,7 @@ def disk_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster size and partition start from the master table's own record, and the command that copies it."""
     path = _disk(spark, sf_dir)
     found, _ = records.scan_image(spark, path)
+    found = _cut(found.filter("name = '$MFT'"))  # of all records, decoded once
     command = F.regexp_replace("command", "^dd if=[^ ]*", "")
     out = records.geometry(found).join(records.dd_commands(found).select("fpos", command.alias("command")), "fpos")
     return _answer(out.select("cluster", "part_start", "last_vcn", "command"), path)
