@@ -279,3 +279,13 @@ def test_contents_are_restored_in_batches(tmp_path):
     batch = pa.RecordBatch.from_pylist([{"path": str(i), "size": 4000, "mtime": 1, "runs": [run[i]], "compression": 0} for i in range(20)])
     out = list(found.run(iter([batch])))
     assert len(out) == 1 and out[0].column("content").to_pylist() == [bytes([65 + i]) * 4000 for i in range(20)]
+
+
+def test_image_rows_are_written_one_by_one(spark, tmp_path):
+    from wrackline.plans import disk
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(6).selectExpr("id", "cast(repeat('x', 10) AS binary) AS b")
+    disk._written(rows, str(tmp_path / "image"), 60, lambda r: [(10 * r["id"], r["b"])])
+    assert (tmp_path / "image").read_bytes() == b"x" * 60
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
