@@ -289,3 +289,10 @@ def test_image_rows_are_written_one_by_one(spark, tmp_path):
     disk._written(rows, str(tmp_path / "image"), 60, lambda r: [(10 * r["id"], r["b"])])
     assert (tmp_path / "image").read_bytes() == b"x" * 60
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_tree_totals_of_documents_of_one_file(spark, documents):
+    from wrackline.plans import disk
+
+    (row,) = disk.disk_tree_totals(spark, documents).collect()
+    assert (row.tree, row.errors) == ("en", 0) and row.bytes_wanted == row.bytes_copied
