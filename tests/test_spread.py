@@ -296,3 +296,12 @@ def test_tree_totals_of_documents_of_one_file(spark, documents):
 
     (row,) = disk.disk_tree_totals(spark, documents).collect()
     assert (row.tree, row.errors) == ("en", 0) and row.bytes_wanted == row.bytes_copied
+
+
+def test_few_files_are_dealt_out(spark, documents):
+    from wrackline.plans import common
+
+    few = spark.read.parquet(f"{documents}/documents.parquet")
+    assert few.rdd.getNumPartitions() == 1 and common.dealt(few).rdd.getNumPartitions() >= 8
+    many = few.repartition(40)
+    assert common.dealt(many) is many
