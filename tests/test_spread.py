@@ -305,3 +305,14 @@ def test_few_files_are_dealt_out(spark, documents):
     assert few.rdd.getNumPartitions() == 1 and common.dealt(few).rdd.getNumPartitions() >= 8
     many = few.repartition(40)
     assert common.dealt(many) is many
+
+
+def test_run_lists_of_sorted_lines(spark, tmp_path):
+    from wrackline.plans import catalogue
+
+    lines = spark.range(20_000).selectExpr("id % 3 * 7 AS l_orderkey", "cast(id AS int) AS l_linenumber", "id % 2 AS l_partkey", "id AS l_suppkey", "1.0D AS l_extendedprice", "2.0D AS l_quantity")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalogue.runlist_roundtrip(spark, str(tmp_path))
+    assert "collect_list" not in plan(found)
+    assert found.groupBy("ref").count().orderBy("ref").collect() == [(0, 6667), (7, 6667), (14, 6666)]
+    assert found.filter("ref = 7 AND idx = 3").select("vcn", "lcn", "len", "sparse").collect() == [(6, 10, 2, False)]

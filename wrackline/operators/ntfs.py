@@ -144,22 +144,35 @@ def decode_run_lists(rows: DataFrame, column: str, unit: Column | int = 0, total
     unit = F.lit(unit) if isinstance(unit, int) else unit
     total = F.lit(None).cast("bigint") if total is None else total
 
-    @F.pandas_udf(RUN_RESULT)
-    def decode(data, units, totals):
-        import pandas as pd
+    # Built column by column; a dictionary for each run costs several times the decoding.
+    whole = _arrow(f"r {RUN_RESULT}").field(0).type
 
-        rows = []
-        for d, n, t in zip(data, units, totals):
+    @F.arrow_udf(RUN_RESULT)
+    def decode(data, units, totals):
+        ends, runs, rest = [0], [[] for _ in range(5)], [[] for _ in range(5)]
+        idx, vcn, lcn, size, sparse = runs
+        for d, n, want in zip(*(c.to_pylist() for c in (data, units, totals))):
             d, n = d or b"", int(n or 0)
-            known = t is not None and t == t
-            want = int(t) if known else None
-            if repair and known:
+            if repair and want is not None:
                 got, status = ntfs.sanitised_runs(d, n, want)
             else:
                 got = ntfs.decode_runs(d, n)
-                status = "CantFIX" if got.error else "GOOD" if not known or got.total == want else "BadSIZE"
-            rows.append({"runs": run_structs(got.runs), "total": got.total, "error": got.error, "error_at": got.error_at, "status": status, "repaired": got.repaired})
-        return pd.DataFrame(rows, columns=["runs", "total", "error", "error_at", "status", "repaired"])
+                status = "CantFIX" if got.error else "GOOD" if want is None or got.total == want else "BadSIZE"
+            at = 0
+            for i, (where, length, hole) in enumerate(got.runs):
+                idx.append(i)
+                vcn.append(at)
+                lcn.append(where)
+                size.append(length)
+                sparse.append(hole)
+                at += length
+            ends.append(len(idx))
+            for column, value in zip(rest, (got.total, got.error, got.error_at, status, got.repaired)):
+                column.append(value)
+        fields = list(whole.field("runs").type.value_type)
+        flat = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(runs, fields)], fields=fields)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=whole.field("runs").type)
+        return pa.StructArray.from_arrays([lists, *[pa.array(v, f.type) for v, f in zip(rest, list(whole)[1:])]], fields=list(whole))
 
     return rows.withColumn(out, decode(F.col(column), unit.cast("int"), total.cast("bigint")))
 

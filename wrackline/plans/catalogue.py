@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wrackline.functions import ntfs
 from wrackline.operators import catalogue, match
 from wrackline.operators import ntfs as records
-from wrackline.plans.common import day, registered, table
+from wrackline.plans.common import day, registered, spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -144,13 +144,15 @@ def union_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _made(rows: DataFrame, make, ddl: str) -> DataFrame:
+    """What ``make`` gives for each row of a table, dealt out over tasks."""
     schema = records._arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pylist([make(r) for r in b.to_pylist()], schema=schema)
+            for at in range(0, b.num_rows, 1000):
+                yield pa.RecordBatch.from_pylist([make(r) for r in b.slice(at, 1000).to_pylist()], schema=schema)
 
-    return rows.mapInArrow(run, ddl)
+    return spread(rows).mapInArrow(run, ddl)
 
 
 @query("SELECT c_custkey AS ref, c_name AS name, c_nationkey::BIGINT AS parent, c_custkey * 100 + 17 AS size, 1500000000 + c_custkey AS mtime, 2 AS n_runs, c_custkey + 25 AS clusters FROM customer")
@@ -190,8 +192,28 @@ WITH l AS ({_LINES}), q AS (SELECT *, lag(lcn) OVER (PARTITION BY ref ORDER BY i
 SELECT ref, idx::INT AS idx, vcn::BIGINT AS vcn, CASE WHEN lcn = before THEN 0 ELSE lcn END AS lcn, len, coalesce(lcn = before, false) AS sparse FROM q""")
 def runlist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of an order as runs, encoded as one list and decoded; equal neighbours read as sparse."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ref")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("bigint").alias("n")))).alias("r"))
-    made = _made(lines, lambda r: {"ref": r["ref"], "raw": ntfs.encode_runs([(x["l_partkey"] * 10 + x["l_linenumber"], x["n"]) for x in r["r"]])}, "ref bigint, raw binary")
+    lines = table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_quantity").cast("bigint"))
+    lines = lines.repartition("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "n")
+    lines = lines.select("l_orderkey", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("lcn"), "n")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """An order's rows follow one another, at times over the end of a batch."""
+        ref, runs = None, []
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([raw for _, raw in rows], pa.binary())], names=["ref", "raw"])
+        for b in batches:
+            done = []
+            for key, *run in zip(*(c.to_pylist() for c in b.columns)):
+                if runs and key != ref:
+                    done.append((ref, ntfs.encode_runs(runs)))
+                    runs = []
+                ref = key
+                runs.append(run)
+            if done:
+                yield batch(done)
+        if runs:
+            yield batch([(ref, ntfs.encode_runs(runs))])
+
+    made = lines.mapInArrow(encode, "ref bigint, raw binary")
     return records.decode_run_lists(made, "raw").select("ref", F.col("decoded.runs").alias("runs")).select("ref", F.inline("runs"))
 
 
